@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import url_filters
+from corpusloom.llm import quality_rules, url_filters
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -79,8 +79,15 @@ FROM pages LEFT JOIN judged j ON j.url = pages.url LEFT JOIN (SELECT DISTINCT no
 """
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters}
+    return {
+        "op1_url_filters": op1_url_filters,
+        "op8_quality_rules": op8_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
