@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import quality_rules, url_filters
+from corpusloom.llm import ngram_join, quality_rules, url_filters
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -79,6 +79,10 @@ FROM pages LEFT JOIN judged j ON j.url = pages.url LEFT JOIN (SELECT DISTINCT no
 """
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op7_ngram_join": op7_ngram_join,
         "op8_quality_rules": op8_quality_rules,
     }
 
