@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import ngram_join, quality_rules, url_filters
+from corpusloom.llm import ngram_join, quality_rules, token_records, url_filters
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -87,11 +88,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_records.token_records(_table(spark, sf_dir, "documents"), path, end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op7_ngram_join": op7_ngram_join,
         "op8_quality_rules": op8_quality_rules,
+        "op10_token_records": op10_token_records,
     }
 
 
