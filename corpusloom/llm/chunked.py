@@ -3,7 +3,9 @@
 All the public patterns cut a text before every run of white space, and what follows a
 cut is matched as if the text began there. So a text may be cut before any space that follows
 something other than white space, and equal chunks have equal ids wherever they stand. Chunks are encoded
-once per worker, by whatever encoder is given, and looked up afterwards.
+once per worker, by whatever encoder is given, and looked up afterwards. A new chunk of plain words, with
+stops after them or a line break between them, is put together from its parts: the patterns cut
+between a letter and a stop, and around a single line break.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from collections.abc import Callable, Iterable
 
 _RUN = re.compile(r"[\s᠎] |^ ")
 _CUT = re.compile(r"(?<=[^\s᠎])(?= )")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_PLAIN = re.compile(rf"({_LETTERS})([.,;:!?]*)(?:(\n)({_LETTERS})([.,;:!?]*))?")
 
 
 class ChunkCache:
@@ -49,6 +53,22 @@ class ChunkCache:
         return [self.first[h] + b"".join(map(get, t)) for h, t in zip(heads, tails)]
 
     def _fill(self, cache: dict[str, bytes], new: set[str], before: str) -> None:
-        new = list(new)
-        cache.update(zip(new, self.encode([before + x for x in new])))
-        self.held += sum(map(len, new)) + 12 * len(new)
+        units: dict[str, bytes] = {}
+        whole, made = [], []
+        for x in new:
+            m = _PLAIN.fullmatch(x)
+            if m is None or len(m[1]) == len(x):
+                whole.append(x)
+            else:
+                made.append((x, m.groups("")))
+        starts = {g[0] for _, g in made}.difference(cache, whole)
+        cache.update(zip(whole, self.encode([before + x for x in whole])))
+        if made:
+            rest = list({u for _, g in made for u in g[1:] if u})
+            units = dict(zip(rest, self.encode(rest)))
+            units[""] = b""
+            words = list(starts)
+            cache.update(zip(words, self.encode([before + x for x in words])))
+            for x, g in made:
+                cache[x] = cache[g[0]] + b"".join([units[u] for u in g[1:]])
+        self.held += sum(map(len, new)) + 12 * (len(new) + len(starts))
