@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import ngram_join, quality_rules, token_records, url_filters
+from corpusloom.llm import byte_bpe, ngram_join, quality_rules, tiff, token_records, url_filters
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -80,6 +80,11 @@ FROM pages LEFT JOIN judged j ON j.url = pages.url LEFT JOIN (SELECT DISTINCT no
 """
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -88,6 +93,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.media_digests(tiff.store_texts(_table(spark, sf_dir, "documents")))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_records.token_records(_table(spark, sf_dir, "documents"), path, end_id=2)
@@ -96,8 +105,10 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op3_byte_bpe": op3_byte_bpe,
         "op7_ngram_join": op7_ngram_join,
         "op8_quality_rules": op8_quality_rules,
+        "op9_tiff": op9_tiff,
         "op10_token_records": op10_token_records,
     }
 
