@@ -41,6 +41,7 @@ class Bpe:
         self._pairs: dict[tuple[int, int], bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._classes: dict[str, str] = {}
+        self.cache: ChunkCache | None = None
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -197,7 +198,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     A null text is empty and has no ids. One row for each row; repeated and null ids stay, other
     columns are ignored. Whole texts are encoded, whatever their length, in linear time.
     """
-    return _encoded(docs, path, pattern, "ids array<int>", lambda model, raw: [pa.array(np.frombuffer(b, "<u4").astype(np.int32)) for b in raw])
+    return _encoded(docs, path, pattern, "ids array<int>", None)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -206,31 +207,27 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Rows as in ``encode_documents``; an empty text has the digests of the empty string.
     """
 
-    def digests(model: Bpe, raw: list[bytes]) -> list[tuple]:
-        out = []
-        for b in raw:
-            ids = np.frombuffer(b, "<u4").tolist()
-            out.append((len(ids), hashlib.sha256(b).hexdigest(), hashlib.sha256(model.decode(ids)).hexdigest()))
-        return out
+    def digests(model: Bpe, ids: list[np.ndarray]) -> list[pa.Array]:
+        decoded = [hashlib.sha256(model.decode(x.tolist())).hexdigest() for x in ids]
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]), pa.array(decoded)]
 
     return _encoded(docs, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, columns: str, make) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, pattern: str, columns: str, digests) -> DataFrame:
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Bpe.load(path, pattern)
-        cache = ChunkCache(lambda chunks: (np.array(model.encode(c), "<u4").tobytes() for c in chunks))
+        if model.cache is None:
+            model.cache = ChunkCache(lambda chunks: map(model.encode, chunks))
         for batch in batches:
             for part in slices(batch, "text"):
-                made = make(model, cache.texts([t or "" for t in part.column("text").to_pylist()]))
-                if names == ["ids"]:
-                    off = np.cumsum([0, *map(len, made)]).astype(np.int32)
-                    flat = np.concatenate([np.zeros(0, np.int32), *(x.to_numpy() for x in made)])
-                    arrays = [pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int32()))]
+                flat, off = model.cache.ids(part.column("text"))
+                if digests:
+                    arrays = digests(model, [flat[a:b] for a, b in zip(off, off[1:])])
                 else:
-                    arrays = [pa.array(x) for x in zip(*made)]
+                    arrays = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", *names])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

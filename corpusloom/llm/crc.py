@@ -41,6 +41,12 @@ _OVER = _over_block()
 
 def crc32c(parts: list[bytes]) -> np.ndarray:
     """The CRC-32C of each byte string, as uint32."""
+    if parts and all(len(p) == 8 for p in parts):  # lengths of records
+        eight = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 8)
+        state = np.full(len(parts), 0xFFFFFFFF, np.uint32)
+        for k in range(8):
+            state = (state >> np.uint32(8)) ^ _TABLES[0][(state ^ eight[:, k]) & 255]
+        return ~state
     size = np.array([len(p) for p in parts], np.int64)
     blocks = np.maximum(1, -(-size // _BLOCK))
     ends = np.cumsum(blocks)

@@ -33,20 +33,25 @@ _ENCODERS: dict[str, ChunkCache] = {}
 
 
 def _encoder(path: str) -> ChunkCache:
-    """The worker's encoder of a ``tokenizers`` file; ids come as little-endian uint32 bytes."""
+    """The worker's encoder of a ``tokenizers`` file."""
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        opens = np.zeros(tokenizer.get_vocab_size(), bool)
+        opens[[i for token, i in tokenizer.get_vocab().items() if token[0] == "Ġ"]] = True  # the token starts with a space
 
-        def encode(chunks: list[str]) -> Iterator[bytes]:
-            for k in range(0, len(chunks), 4096):
-                for e in tokenizer.encode_batch_fast(chunks[k : k + 4096], add_special_tokens=False):
-                    yield np.array(e.ids, "<u4").tobytes()
+        def encode(chunks: list[str]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-        _ENCODERS[path] = ChunkCache(encode)
+        def row(chunks: list[str]) -> list[np.ndarray]:
+            ids = np.array(tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
+            starts = np.flatnonzero(opens[ids]).tolist()
+            return [ids[x:y] for x, y in zip(starts, [*starts[1:], len(ids)])]
+
+        _ENCODERS[path] = ChunkCache(encode, row)
     return _ENCODERS[path]
 
 
@@ -74,27 +79,30 @@ def frames(parts: list[bytes]) -> list[bytes]:
 
 def read_frames(stream) -> Iterator[list[bytes]]:
     """Lists of serialized sequences, a few MB at a time; raises ValueError where a length or a checksum is wrong."""
-    held, size = [], 0
+    held: list[tuple[bytes, bytes]] = []
+    size, wrong = 0, ""
     while head := stream.read(12):
-        if len(head) < 12 or struct.unpack("<I", head[8:])[0] != int(masked(crc32c([head[:8]]))[0]):
-            raise ValueError("a record's length is damaged")
-        n = struct.unpack("<Q", head[:8])[0]
-        body = stream.read(n + 4)
-        if len(body) < n + 4:
-            raise ValueError("a record is cut short")
-        held.append((body[:n], struct.unpack("<I", body[n:])[0]))
+        n = struct.unpack("<Q", head[:8])[0] if len(head) == 12 else -1
+        body = stream.read(n + 4) if 0 <= n < 1 << 40 else b""
+        if n < 0 or len(body) != n + 4:
+            wrong = "a record is cut short or its length damaged"
+            break
+        held.append((head, body))
         size += n
         if size > 4 << 20:
             yield _checked(held)
             held, size = [], 0
     if held:
         yield _checked(held)
+    if wrong:
+        raise ValueError(wrong)
 
 
-def _checked(held: list[tuple[bytes, int]]) -> list[bytes]:
-    parts = [p for p, _ in held]
-    if masked(crc32c(parts)).tolist() != [c for _, c in held]:
-        raise ValueError("a record's data are damaged")
+def _checked(held: list[tuple[bytes, bytes]]) -> list[bytes]:
+    heads, parts = [h[:8] for h, _ in held], [b[:-4] for _, b in held]
+    for what, data, ends in (("length", heads, [h[8:] for h, _ in held]), ("data", parts, [b[-4:] for _, b in held])):
+        if masked(crc32c(data)).tolist() != np.frombuffer(b"".join(ends), "<u4").tolist():
+            raise ValueError(f"a record's {what} is damaged")
     return parts
 
 
@@ -111,7 +119,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int | None, fold
     files = max(1, -(-total // FILE_BYTES))
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -123,9 +131,10 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int | None, fold
         for batch in batches:
             for piece in slices(batch, "text"):
                 stream = stream or out_fs.open_output_stream(out_path)
-                ids = [np.frombuffer(b + tail, "<u4") for b in cache.texts([t or "" for t in piece.column("text").to_pylist()])]
-                if max((int(x.max()) for x in ids if len(x)), default=0) >= 1 << (8 * width):
+                flat, off = cache.ids(piece.column("text"))
+                if max(int(flat.max(initial=0)), *tail) >= 1 << (8 * width):
                     raise OverflowError(f"an id needs more than {width} bytes")
+                ids = [np.append(flat[a:b], tail) for a, b in zip(off, off[1:])]
                 doc_ids = piece.column("doc_id").to_pylist()
                 framed = frames([serialize(d, x, width) for d, x in zip(doc_ids, ids)])
                 stream.write(b"".join(framed))
@@ -169,7 +178,7 @@ def read_records(index: DataFrame) -> DataFrame:
                         start += int(n.sum())
 
     # every row of a part that was committed names the same file
-    files = index.groupBy("part").agg(F.min("file").alias("file"))
+    files = index.groupBy("part").agg(F.min("file").alias("file")).repartition("part")
     return files.mapInArrow(run, "part int, position long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
 
 

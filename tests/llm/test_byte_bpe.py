@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -27,6 +28,8 @@ def test_same_ids_as_the_library(model, library):
     texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() + hard_texts()
     for t in texts:
         assert model.encode(t) == library.encode_ordinary(t), repr(t[:80])
+    ids, off = B.ChunkCache(lambda chunks: map(model.encode, chunks)).ids(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_other_vocabulary(library):
