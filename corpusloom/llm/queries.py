@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import byte_bpe, ngram_join, quality_rules, tiff, token_records, url_filters
+from corpusloom.llm import byte_bpe, ngram_join, quality_lm, quality_rules, tiff, token_records, toxicity, url_filters
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -85,6 +85,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that are labelled as good and not as toxic."""
+    return _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.quality_classifier(_table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
@@ -106,6 +119,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_toxicity": op4_toxicity,
+        "op6_quality_lm": op6_quality_lm,
         "op7_ngram_join": op7_ngram_join,
         "op8_quality_rules": op8_quality_rules,
         "op9_tiff": op9_tiff,
