@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import byte_bpe, ngram_join, quality_lm, quality_rules, tiff, token_records, toxicity, url_filters
+from corpusloom.llm import byte_bpe, mixing, ngram_join, quality_lm, quality_rules, tiff, token_records, toxicity, url_filters
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -89,6 +89,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the documents that are labelled as good and not as toxic."""
     return _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
@@ -120,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filters": op1_url_filters,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_toxicity": op4_toxicity,
+        "op5_mixing": op5_mixing,
         "op6_quality_lm": op6_quality_lm,
         "op7_ngram_join": op7_ngram_join,
         "op8_quality_rules": op8_quality_rules,
