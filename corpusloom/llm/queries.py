@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import byte_bpe, mixing, ngram_join, quality_lm, quality_rules, tiff, token_records, toxicity, url_filters
+from corpusloom.llm import byte_bpe, mixing, ngram_join, quality_lm, quality_rules, tiff, token_records, token_tree, toxicity, url_filters
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -80,6 +80,11 @@ FROM pages LEFT JOIN judged j ON j.url = pages.url LEFT JOIN (SELECT DISTINCT no
 """
 
 
+def op2_token_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_tree.count_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -122,6 +127,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_token_tree": op2_token_tree,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_toxicity": op4_toxicity,
         "op5_mixing": op5_mixing,
