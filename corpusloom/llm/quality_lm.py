@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.store import materialize
 from corpusloom.llm.textscan import buffer_of, slices
@@ -168,8 +169,8 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
                     [*(part.column(c) for c in others), pa.array(n, pa.int64()), pa.array(bits, mask=n == 0)], [*others, "n_scored", "bits"]
                 )
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.select(*others, "text").mapInArrow(run, f"{kinds}, n_scored long, bits double")
+    kinds = T.StructType([f for f in docs.schema if f.name != "text"])
+    return docs.select(*others, "text").mapInArrow(run, kinds.add("n_scored", "long").add("bits", "double"))
 
 
 def limits(trusted: DataFrame, low: float, high: float, reach: float, least: int) -> DataFrame:
@@ -206,16 +207,35 @@ def quality_classifier(
     null or has under ``least`` trusted documents. Empty and null texts have no perplexity and are not
     kept; if nothing is trusted every text with characters is kept. One row for each row; repeated ids are judged each.
     """
+    _, _, bound, scored = _judged(docs, trusted_ids, low, high, reach, least)
+    return _verdicts(scored, bound).select("doc_id", "lang", "n_scored", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), "most").alias("most"), "kept")
+
+
+def keep_documents(
+    docs: DataFrame, trusted_ids: DataFrame, low: float = 0.5, high: float = 0.99, reach: float = 6.0, least: int = 20
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_classifier`` keeps, with all their columns.
+
+    Texts are scored a second time with the limits known, which spares a shuffle of all of them.
+    """
+    _, model, bound, _ = _judged(docs, trusted_ids, low, high, reach, least)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("lang").cast("string").alias("lang"), "text")
+    return _verdicts(perplexities(rows, model), bound).where("kept").select("row.*")
+
+
+def _judged(docs: DataFrame, trusted_ids: DataFrame, low: float, high: float, reach: float, least: int) -> tuple[DataFrame, Model, DataFrame, DataFrame]:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
-    model = train(base.join(ids, "doc_id", "left_semi"))
+    ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    # a merge join at every size: the ids grow with the corpus, and texts move once
+    model = train(base.join(ids.hint("merge"), "doc_id", "left_semi"))
     scored = materialize(perplexities(base, model), "bits")
-    trusted = scored.join(ids, "doc_id", "left_semi")
-    bound = limits(trusted, low, high, reach, least)
-    own = bound.where("lang is not null")
+    bound = materialize(limits(scored.join(ids, "doc_id", "left_semi"), low, high, reach, least), "limits")
+    return base, model, bound, scored
+
+
+def _verdicts(scored: DataFrame, bound: DataFrame) -> DataFrame:
+    """``scored`` with ``most`` and ``kept``."""
     overall = bound.where("lang is null").agg(F.max("most")).first()[0]
-    judged = scored.join(own, "lang", "left").withColumn("most", F.coalesce("most", F.lit(overall).cast("double")))
-    return judged.select(
-        "doc_id", "lang", "n_scored", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), "most").alias("most"),
-        F.coalesce(F.col("bits") <= F.coalesce("most", F.lit(float("inf"))), F.lit(False)).alias("kept"),
-    )
+    judged = scored.join(bound.where("lang is not null"), "lang", "left").withColumn("most", F.coalesce("most", F.lit(overall).cast("double")))
+    within = F.col("bits") <= F.coalesce("most", F.lit(float("inf")))
+    return judged.withColumn("kept", F.coalesce(within, F.lit(False)))
