@@ -87,9 +87,10 @@ def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block_bytes: int = 65536,
     period: int = 1024, seed: int = 17,
 ) -> DataFrame:
-    """``docs(doc_id, text, source)`` to ``(doc_id, source, block, phase, slot, offset)``.
+    """``docs(doc_id, text, source)`` to ``(doc_id, source, block, phase, slot, offset, mark)``.
 
-    Rows in order of (slot, offset) are the mix; ``offset`` is the byte of the block at which a row starts.
+    Rows in order of (slot, offset) are the mix; ``offset`` is the byte of the block at which a row starts,
+    ``mark`` a hash of id and text.
     ``weights`` gives target weights by source, 0 < w, in any scale; without it they follow the sources' bytes to
     the power ``temperature``. Sources without a given weight, and those beyond the 256 largest, share one
     weight, the mean, as the pool ''; so do null sources. A text longer than a block takes the next blocks of
@@ -139,4 +140,16 @@ def mix_sources(
     k = F.col("block") - F.col("first")
     slot = F.col("start") + F.floor(k / F.col("parts")).cast("long") * period + F.element_at("slots", (k % F.col("parts")).cast("int") + 1)
     joined = placed.join(F.broadcast(table), "pool").where((F.col("block") >= F.col("first")) & (F.col("block") < F.col("past")))
-    return joined.select("doc_id", "source", "block", "phase", slot.alias("slot"), "offset")
+    return joined.select("doc_id", "source", "block", "phase", slot.alias("slot"), "offset", F.col("at").alias("mark"))
+
+
+def mixed_documents(docs: DataFrame, files: int, seed: int = 17, **how) -> DataFrame:
+    """All rows of ``docs``, with all their columns, in ``files`` partitions that follow the mix and are sorted by it.
+
+    Rows with equal id and text stand at the first of their places.
+    """
+    places = mix_sources(docs, seed=seed, **how).groupBy("mark").agg(F.min(F.struct("slot", "offset")).alias("place"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    marked = docs.select(row, F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text").alias("mark"))
+    placed = marked.join(places.hint("merge"), "mark")
+    return placed.repartitionByRange(files, "place", "mark").sortWithinPartitions("place", "mark").select("row.*")

@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm import shingles as S
 from corpusloom.llm.components import connected_components
@@ -40,15 +41,18 @@ def signed_documents(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                h, d, n = S.shingle_sets(part.column("text"), size)
-                sig = S.sig_bytes(S.signatures(h, d, len(part)))
-                sig = pc.if_else(pa.array(n > 0), sig, pa.scalar(None, pa.binary()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), sig], ["doc_id", "n_shingles", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *_signed(part.column("text"), size)], ["doc_id", "n_shingles", "sig"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return kept.mapInArrow(run, "doc_id long, n_shingles long, sig binary")
 
 
+def _signed(texts: pa.Array, size: int) -> tuple[pa.Array, pa.Array]:
+    h, d, n = S.shingle_sets(texts, size)
+    sig = S.sig_bytes(S.signatures(h, d, len(texts)))
+    return pa.array(n, pa.int64()), pc.if_else(pa.array(n > 0), sig, pa.scalar(None, pa.binary()))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], size: int):
     """(hash, doc, sizes, signatures) of bounded runs of documents; a signature comes once in a run."""
     held, total, seen, docs = [], 0, set(), 0
@@ -349,6 +353,36 @@ def ngram_join(
     rows of their own; null ids never are the smallest, so a component of null ids alone has a
     null id. Other columns are ignored.
     """
+    rooted, least = _rooted(docs, size, percent, block, anchors)
+    return rooted.join(least, "root", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id")
+    )
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75, block: int = 1024, anchors: int = 32) -> DataFrame:
+    """One row of ``docs``, with all its columns, of each component of ``ngram_join``: a row with the smallest id.
+
+    Of rows with that id one stays. Texts without words are components of their own, so all of them stay.
+    """
+    _, least = _rooted(docs, size, percent, block, anchors)
+    kinds = T.StructType([T.StructField("row", docs.schema), T.StructField("doc_id", T.LongType()), T.StructField("sig", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), _signed(part.column("text"), size)[1]], ["row", "doc_id", "sig"])
+
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = packed.mapInArrow(run, kinds)
+    first = least.select(F.col("first.sig").alias("first_sig"), F.col("first.doc_id").alias("first_id"))
+    # joined by id as well: a signature that a third of all rows has loads no task
+    same = (F.col("sig") == F.col("first_sig")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    one = rows.join(first.hint("merge"), same).groupBy("sig", "doc_id").agg(F.first("row").alias("row")).select("row.*")
+    return one.unionByName(rows.where("sig is null").select("row.*"))
+
+
+def _rooted(docs: DataFrame, size: int, percent: int, block: int, anchors: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their signature and root, ``(root, first)``: the smallest (doc_id, sig) of each root, null ids last)."""
     spark = docs.sparkSession
     signed = materialize(signed_documents(docs, size), "signed")
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
@@ -358,7 +392,6 @@ def ngram_join(
     links = link_groups(nodes, candidate_groups(nodes), percent, block, anchors)
     root = connected_components(links).select(F.col("node").alias("sig"), F.col("component").alias("root"))
     rooted = signed.join(root, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig"))
+    least = materialize(rooted.where("root is not null").groupBy("root").agg(first.alias("first")), "least")
+    return rooted, least

@@ -24,7 +24,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "covered_words long, longest_repeat long"
+    "covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 )
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[np.frombuffer(SYMBOLS.encode(), np.uint8)] = True
@@ -135,10 +135,17 @@ def measure(texts: pa.Array, min_repeat: int) -> dict[str, np.ndarray]:
     }
 
 
-def quality_rules(
-    docs: DataFrame, min_repeat: int = 8, max_covered: float = 0.5, max_longest: int = 100
-) -> DataFrame:
-    """``docs(doc_id, text)`` to the counts of ``SCHEMA`` plus ``base_failed`` and ``kept``.
+def judge(texts: pa.Array, min_repeat: int = 8, max_covered: float = 0.5, max_longest: int = 100) -> dict[str, np.ndarray]:
+    """The counts of ``measure`` with ``base_failed`` and ``kept``."""
+    found = measure(texts, min_repeat)
+    n = found["n_words"]
+    failed = (n < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
+    good = (found["covered_words"] <= max_covered * n) & (found["longest_repeat"] <= max_longest)
+    return found | {"base_failed": failed, "kept": ~failed & good}
+
+
+def quality_rules(docs: DataFrame, **limits) -> DataFrame:
+    """``docs(doc_id, text)`` to ``SCHEMA``: counts and verdicts of whole texts, with the limits of ``judge``.
 
     A document is kept if it passes the base limits (50 words; at most half of
     its words in repeated 3-word windows), at most ``max_covered`` of its words lie in repeats of
@@ -150,12 +157,18 @@ def quality_rules(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = measure(part.column("text"), min_repeat)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(v, pa.int64()) for v in found.values())], ["doc_id", *found]
-                )
-
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    good = (F.col("covered_words") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)
-    return counted.withColumn("base_failed", base).withColumn("kept", ~base & good)
+                found = judge(part.column("text"), **limits)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found.values())], ["doc_id", *found])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+
+
+def keep_documents(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns; each row is judged by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(judge(part.column("text"), **limits)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
