@@ -156,13 +156,16 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int | None, fold
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """``(part, position, doc_id, local_start, n_tokens, ids_crc32)`` of every record in the index's files, read from the files."""
+    """``(part, position, doc_id, start, n_tokens, ids_crc32)`` of every record in the index's files, read from the files.
+
+    ``start`` counts the ids of all records before: a file's first from the index's totals, the rest from the file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, name in zip(batch.column("part").to_pylist(), batch.column("file").to_pylist()):
+            for part, name, start in zip(*(batch.column(c).to_pylist() for c in ("part", "file", "base"))):
                 fs, path = filesystem(name)
-                position = start = 0
+                position = 0
                 with fs.open_input_stream(path) as stream:
                     for parts in read_frames(stream):
                         rows = [deserialize(p) for p in parts]
@@ -172,14 +175,16 @@ def read_records(index: DataFrame) -> DataFrame:
                             [pa.array([part] * len(rows), pa.int32()), pa.array(np.arange(position, position + len(rows))),
                              pa.array([d for d, _ in rows], pa.int64()), pa.array(begin), pa.array(n),
                              pa.array([zlib.crc32(x.astype("<u4").tobytes()) for _, x in rows], pa.int64())],
-                            ["part", "position", "doc_id", "local_start", "n_tokens", "ids_crc32"],
+                            ["part", "position", "doc_id", "start", "n_tokens", "ids_crc32"],
                         )
                         position += len(rows)
                         start += int(n.sum())
 
     # every row of a part that was committed names the same file
-    files = index.groupBy("part").agg(F.min("file").alias("file")).repartition("part")
-    return files.mapInArrow(run, "part int, position long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    files = index.groupBy("part").agg(F.min("file").alias("file"), F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # over a row for each file
+    placed = files.select("part", "file", before.alias("base")).repartition("part")
+    return placed.mapInArrow(run, "part int, position long, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_sequence(file: str, offset: int, length: int) -> tuple[int | None, np.ndarray]:
@@ -197,8 +202,4 @@ def token_records(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     ids included; an empty table gives none. Other columns are ignored.
     """
     index = write_records(docs, tokenizer_path, end_id, folder or new_path(docs.sparkSession, "records"))
-    rows = read_records(index)
-    totals = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # a row for each file
-    base = totals.select("part", before.alias("base"))
-    return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return read_records(index).select("doc_id", "start", "n_tokens", "ids_crc32")
