@@ -56,7 +56,7 @@ def hit(field: str, term: str) -> str:
     return f"{tf(field, term)} > 0"
 
 
-def search_sql(terms: list[str], where: str = "true", live: bool = False, columns: str = "path, tier, bm25, lexical_rank, graph_rank, fused") -> str:
+def search_sql(terms: list[str], where: str = "true", live: bool = False, columns: str = "path, tier::BIGINT AS tier, round(bm25, 9) AS bm25, lexical_rank, graph_rank, round(fused, 12) AS fused") -> str:
     """The whole search as SQL, in the same order of operations."""
     distinct = list(dict.fromkeys(terms))
     any_hit = {t: "(" + " OR ".join(hit(f, t) for f in FIELDS) + ")" for t in distinct}

@@ -7,7 +7,6 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.registry import EDGES
 from corpusloom.functions.text import script_safe
 from corpusloom.operators.parse import to_xhtml
 
@@ -26,7 +25,7 @@ def document_rows(documents: DataFrame) -> DataFrame:
 def graph_rows(documents: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): resolved edges by source, relationship, target."""
     ids = documents.select("path", F.col("canonical_id").alias("id"))
-    good = edges.where("resolved_path is not null and issue is null")
+    good = edges.where("resolved_path is not null and issue is null").select("source_path", "relationship", "resolved_path")
     named = good.join(ids.select(F.col("path").alias("source_path"), F.col("id").alias("source")), "source_path").join(
         ids.select(F.col("path").alias("resolved_path"), F.col("id").alias("target")), "resolved_path")
     return documents.select(F.col("canonical_id").alias("id"), "type", "title", "path"), named.select("source", F.col("relationship").alias("type"), "target").distinct().orderBy("source", "type", "target")
@@ -60,7 +59,6 @@ def portal_page(viewer: DataFrame, title: str) -> str:
 
 def bundle_rows(documents: DataFrame, edges: DataFrame, times: DataFrame | None = None) -> DataFrame:
     """``(path, text)`` of a bundle: one Markdown file for each document, an index, and a log by commit date."""
-    order = [e.section for e in EDGES]
     _, links = graph_rows(documents, edges)
     cites = links.groupBy(F.col("source").alias("canonical_id")).agg(F.sort_array(F.collect_list(F.concat_ws(": ", "type", "target"))).alias("cites"))
     head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("id: "), "canonical_id"), F.concat(F.lit("type: "), "type"), F.lit("---"), F.concat(F.lit("# "), F.coalesce("title", "canonical_id")))
@@ -73,7 +71,6 @@ def bundle_rows(documents: DataFrame, edges: DataFrame, times: DataFrame | None
         entry = F.struct(F.col("epoch"), F.concat(F.lit("- "), F.substring("stamp", 1, 10), F.lit(" "), "path").alias("line"))
         log = times.agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry), asc=False), lambda x: x["line"]), "\n").alias("text"))
         out = out.unionByName(log.select(F.lit("log.md").alias("path"), "text"))
-    assert order
     return out
 
 
