@@ -93,20 +93,23 @@ def select_features(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np
     gain = (in_p / n_p - in_u / n_u) / np.sqrt((in_u + 1) / n_u / n_p)
     gain[in_p < min(least_count, n_p)] = 0
     best = np.argsort(-gain, kind="stable")[:most]
-    return np.sort(everything[best[gain[best] > 3]])
+    return np.sort(everything[best[gain[best] > 5]])
 
 
 def fit(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float,
-        most: int = 1024, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """The model of least non-negative risk. Without positives or features it scores every text low."""
-    features = select_features(rows, positive, unlabelled, most)
+        most: int = 1024, steps: int = 400, rate: float = 0.05, shrink: float = 0.3) -> Model:
+    """The model of least non-negative risk. Weights shrink by ``shrink`` over the number of positives.
+
+    Without positives or features it scores every text low.
+    """
+    features, decay = select_features(rows, positive, unlabelled, most), shrink / max(positive.sum(), 1)
     flat = np.concatenate([np.zeros(0, np.uint32), *rows])
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at = np.searchsorted(features, flat)
     hit = at < len(features)
     hit[hit] = features[at[hit]] == flat[hit]
     row, col = owner[hit], at[hit]
-    w, bias = np.zeros(len(features)), -4.0
+    w, bias = np.zeros(len(features)), -3.0
     prior = min(max(prior, 1e-4), 0.9)
     p, u = np.flatnonzero(positive), np.flatnonzero(unlabelled)
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
