@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.chunked import ChunkCache
+from corpusloom.llm.store import bounded_batches
 from corpusloom.llm.textscan import slices
 
 _MODELS: dict[tuple[str, str], Bpe] = {}
@@ -38,7 +39,7 @@ class Bpe:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # left * 2**32 + right
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._classes: dict[str, str] = {}
         self.cache: ChunkCache | None = None
@@ -73,10 +74,10 @@ class Bpe:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of two tokens gives the two; -1 stands for the text's start."""
-        key = (left, right)
+        key = (left << 32) + right
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 500_000:
                 self._pairs.clear()
             known = self._pairs[key] = self._meet(left, right)
         return known
@@ -158,7 +159,7 @@ class PrefixTable:
                 token = ranks(data[start:i])
                 if token is not None:
                     before = last[start]
-                    fits = known((before, token))
+                    fits = known((before << 32) + token)
                     if fits or (fits is None and compatible(before, token)):
                         last.append(token)
                         break
@@ -230,6 +231,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, columns: str, digests) ->
                     arrays = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", *names])
 
+    bounded_batches(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return kept.mapInArrow(run, f"doc_id long, {columns}")
 

@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 from corpusloom.llm import shingles as S
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.prefix_tree import link_sets
-from corpusloom.llm.store import materialize
+from corpusloom.llm.store import bounded_batches, materialize
 from corpusloom.llm.textscan import slices
 
-CHUNK = 1 << 21  # shingles that a chunk of documents holds in memory
+CHUNK = 1 << 20  # shingles that a chunk of documents holds in memory
 _BITS = 48
 _U = np.uint64
 
@@ -384,6 +384,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75, block: int =
 def _rooted(docs: DataFrame, size: int, percent: int, block: int, anchors: int) -> tuple[DataFrame, DataFrame]:
     """(rows with their signature and root, ``(root, first)``: the smallest (doc_id, sig) of each root, null ids last)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     signed = materialize(signed_documents(docs, size), "signed")
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / CHUNK))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.store import materialize
+from corpusloom.llm.store import bounded_batches, materialize
 from corpusloom.llm.textscan import buffer_of, slices
 
 ORDER, BITS = 4, 6
@@ -65,20 +65,27 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code, chars
 
 
+def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, inverse = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
+    return code, np.bincount(inverse, weights=np.concatenate([n for _, n in counts])).astype(np.int64)
+
+
 def count_ngrams(texts: DataFrame) -> DataFrame:
     """``texts(text)`` to ``(code, n)``, over all of them. Each task sends a code once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**ORDER, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in slices(batch, "text"):
-                code, times = np.unique(ngrams(part.column("text"))[0], return_counts=True)
-                total[code] += times
-        code = np.flatnonzero(total)
-        for k in range(0, len(code), 1 << 16):
-            some = code[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["code", "n"])
-
+                held.append(np.unique(ngrams(part.column("text"))[0], return_counts=True))
+                if sum(len(c) for c, _ in held) > 4_000_000:
+                    held = [_summed(held)]
+        if held:
+            code, n = _summed(held)
+            for k in range(0, len(code), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(code[k : k + (1 << 16)].astype(np.int32)), pa.array(n[k : k + (1 << 16)])], ["code", "n"])
+
+    bounded_batches(texts.sparkSession)
     return texts.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -169,6 +176,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
                     [*(part.column(c) for c in others), pa.array(n, pa.int64()), pa.array(bits, mask=n == 0)], [*others, "n_scored", "bits"]
                 )
 
+    bounded_batches(docs.sparkSession)
     kinds = T.StructType([f for f in docs.schema if f.name != "text"])
     return docs.select(*others, "text").mapInArrow(run, kinds.add("n_scored", "long").add("bits", "double"))
 

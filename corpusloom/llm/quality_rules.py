@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.store import bounded_batches
 from corpusloom.llm.textscan import Scan, repeated, slices, windows
 
 #: Fixed by the contract: the symbols counted, and the base limits.
@@ -160,6 +161,7 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
                 found = judge(part.column("text"), **limits)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found.values())], ["doc_id", *found])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
@@ -171,4 +173,5 @@ def keep_documents(docs: DataFrame, **limits) -> DataFrame:
             for part in slices(batch, "text"):
                 yield part.filter(pa.array(judge(part.column("text"), **limits)["kept"]))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -21,6 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold fewer rows, unless the session sets a number of its own: rows here are whole texts, of any length."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -7,13 +7,15 @@ never cut a character.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 512 << 10  # a slice needs about 100 times its bytes while it is scanned
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -24,6 +26,16 @@ _BASE = 0x9E3779B97F4A7C15
 _POW = {}
 
 
+@cache
+def _lean() -> None:
+    """Once in a worker: give freed arrays of 1 MB and more back to the system at once, where the C library can be told so."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit."""
     h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
@@ -43,6 +55,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces whose texts hold ``limit`` bytes at most, or one text that is longer."""
+    _lean()
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     i, n = 0, len(batch)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.store import bounded_batches
 from corpusloom.llm.textscan import slices
 
 #: Fixed by the format: tags, the sizes of value types, and codes of compression.
@@ -262,6 +263,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 media = pa.array([from_payload(payload_of(t)) for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.chunked import ChunkCache
 from corpusloom.llm.crc import crc32c, masked
-from corpusloom.llm.store import new_path
+from corpusloom.llm.store import bounded_batches, new_path
 from corpusloom.llm.textscan import slices
 
 FILE_BYTES = 32 << 20  # of text, for each file
@@ -114,6 +114,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int | None, fold
     raises OverflowError.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-total // FILE_BYTES))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.byte_bpe import Bpe
+from corpusloom.llm.store import bounded_batches
 from corpusloom.llm.textscan import slices
 
 LEAF = 64
@@ -220,6 +221,7 @@ def build_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     [part.column("doc_id"), pa.array(pieces, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "pieces", "counts"]
                 )
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STATE)
 
 
@@ -272,4 +274,5 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, edits_of: Callable[[s
                 made = np.array(rows, np.int64).T
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, made)], [c.split()[0] for c in COUNTS.split(", ")])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, COUNTS)

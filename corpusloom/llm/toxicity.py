@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.store import bounded_batches
 from corpusloom.llm.textscan import slices
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -165,6 +166,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabell
     with null ids are never trained on. Labels of an id that repeats count as toxic if one is. Only the
     text is an input of the score.
     """
+    bounded_batches(docs.sparkSession)
     model = train(docs, labels, positives, unlabelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
