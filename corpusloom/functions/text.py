@@ -162,3 +162,19 @@ def excerpt(content: Column, budget: int, items: int) -> Column:
 def script_safe(json_text: Column) -> Column:
     """JSON that may stand inside an HTML script element."""
     return F.replace(F.replace(F.replace(json_text, F.lit("<"), F.lit("\\u003c")), F.lit(">"), F.lit("\\u003e")), F.lit("&"), F.lit("\\u0026"))
+
+
+_CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def new_id(prefix: str, millis: int, noise: int) -> str:
+    """An identifier of 40 bits of time and 20 random bits in twelve base-32 digits."""
+    value = ((millis & ((1 << 40) - 1)) << 20) | (noise & ((1 << 20) - 1))
+    return prefix + "-" + "".join(_CROCKFORD[value >> shift & 31] for shift in range(55, -1, -5))
+
+
+def canonical_json(value) -> str:
+    """Compact JSON with sorted keys, for digests."""
+    import json
+
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

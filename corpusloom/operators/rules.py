@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.registry import CATEGORIES, TICKETS, TYPES, URL
-from corpusloom.functions.text import casefold, first_line, path_name
+from corpusloom.functions.text import first_line, path_name
 from corpusloom.operators.graph import FINDING
 from corpusloom.operators.parse import ISSUE, section
 
@@ -157,6 +157,3 @@ def bundle_names(documents: DataFrame) -> DataFrame:
     code = F.when(F.col("type") == "unknown", "okf-unmapped-type").when(reserved, "okf-reserved-filename-collision")
     return documents.select("path", "type", code.alias("code")).where("code is not null")
 
-
-def folded_equal(a: Column, b: Column) -> Column:
-    return casefold(a) == casefold(b)

@@ -166,7 +166,8 @@ def final_order(ranked: DataFrame) -> DataFrame:
 
 
 def postings(tokens: DataFrame, terms: list[str]) -> DataFrame:
-    """Paths that hold every term: posting lists cut with each other, the shortest first."""
-    long = tokens.select("path", F.explode(F.array_distinct(F.flatten(F.array(*(F.col(f"t_{f}") for f in TIERS))))).alias("token"))
-    lists = [long.where(F.col("token").startswith(t)).select("path").distinct() for t in dict.fromkeys(terms)]
-    return reduce(lambda a, b: a.join(b, "path", "left_semi"), lists)
+    """Paths that hold every term: each token names the terms it starts with, and a path must have them all. One pass, one shuffle of paths."""
+    distinct = list(dict.fromkeys(terms))
+    words = F.array_distinct(F.flatten(F.array(*(F.col(f"t_{f}") for f in TIERS))))
+    held = F.array_distinct(F.flatten(F.transform(words, lambda w: F.filter(F.array(*map(F.lit, distinct)), lambda t: w.startswith(t)))))
+    return tokens.where(F.size(held) == len(distinct)).select("path")

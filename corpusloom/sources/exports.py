@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import script_safe
+from corpusloom.functions.text import TOKEN, casefold, script_safe
 from corpusloom.operators.parse import to_xhtml
 
 BEGIN, END = "<!-- BEGIN decisions -->", "<!-- END decisions -->"
@@ -74,6 +74,13 @@ def bundle_rows(documents: DataFrame, edges: DataFrame, times: DataFrame | None
     return out
 
 
+def citations(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(path, at, token, target)`` of the identifiers in ``texts(path, text)`` that name one document of ``aliases(key, path)``."""
+    known = aliases.groupBy("key").agg(F.min("path").alias("target"), F.count_distinct("path").alias("n")).where("n = 1").drop("n")
+    words = texts.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("at", "token"))
+    return words.withColumn("key", casefold(F.col("token"))).join(known, "key").select("path", "at", "token", "target")
+
+
 def rules_block(documents: DataFrame) -> str:
     """The managed block of live decisions, with a digest of its lines."""
     rows = documents.where("live_decision").orderBy("canonical_id").select("canonical_id", "title").collect()

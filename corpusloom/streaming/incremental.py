@@ -46,6 +46,16 @@ def needs_compaction(base_rows: int, delta_rows: int) -> bool:
     return delta_rows >= max(COMPACT_ROWS, base_rows // COMPACT_SHARE)
 
 
+def compact(root: str, base: DataFrame, upserts: DataFrame, tombstones: DataFrame, fingerprint: str = "") -> str | None:
+    """Publish a new base and an empty delta if the delta has grown enough; the new version's name, or None."""
+    delta = upserts.count() + tombstones.count()
+    if not needs_compaction(base.count(), delta):
+        return None
+    from corpusloom.sources.index import publish
+
+    return publish(root, {"base": overlay(base, upserts, tombstones), "upserts": upserts.limit(0), "tombstones": tombstones.limit(0)}, fingerprint)
+
+
 def affected_sources(references: DataFrame, changed_keys: DataFrame) -> DataFrame:
     """``(source_path)`` of documents that mention an alias which changed: only these are resolved again. Both have ``key``."""
     return references.join(changed_keys.select("key").distinct(), "key", "left_semi").select("source_path").distinct()
