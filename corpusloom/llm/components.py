@@ -46,6 +46,16 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
+def _with_least(edges: DataFrame, least: DataFrame, node: str) -> DataFrame:
+    """``edges`` joined with a row for each node.
+
+    The key is wrapped so that the aggregated side is dealt out once more: only a join between two plain
+    exchanges can be split where a node has very many edges.
+    """
+    key = F.struct(node).alias("key")
+    return edges.select("*", key).join(least.select(key, "m"), "key").drop("key")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node with the node's smallest neighbour."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
@@ -53,7 +63,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (
-        both.join(least, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")))
+        _with_least(both, least, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m")))
         .select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
     )
 
@@ -61,5 +71,5 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, with the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(edges, least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
