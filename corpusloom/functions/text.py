@@ -25,8 +25,7 @@ TOKEN = r"[0-9A-Za-z]+(?:-[0-9A-Za-z]+)*"
 def search_tokens(text: Column) -> Column:
     """Lower-case ASCII tokens: split at everything but 0-9A-Za-z and where a lower letter meets an upper one. Null gives []."""
     seams = F.regexp_replace(F.coalesce(text, F.lit("")), r"([a-z])([A-Z])", "$1 $2")
-    plain = F.trim(F.lower(F.regexp_replace(seams, r"[^0-9A-Za-z]+", " ")))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(F.lower(F.regexp_replace(seams, r"[^0-9A-Za-z]+", " ")), " "), "")
 
 
 def query_terms(query: str) -> list[str]:

@@ -123,7 +123,8 @@ def search(
     decisions (column ``live_decision``) after, so their ranks keep gaps. A query without tokens matches nothing.
     """
     terms = query_terms(query)
-    counts = term_counts(field_tokens(entries), terms)
+    # texts are read once: statistics and scores come from the slim counts
+    counts = staged(term_counts(field_tokens(entries), terms).drop("sections", "aliases"), "counts")
     found = counts
     if type is not None or decisions_only:
         found = found.where(F.col("type") == (type or "decision"))
@@ -136,11 +137,11 @@ def search(
     scored = found.crossJoin(F.broadcast(corpus_stats(counts, terms)))  # one row of statistics
     scored = barrier(scored, [weighted_frequency(k).alias(f"weighted_{k}") for k in range(len(set(terms)))] or [F.lit(0).alias("weighted_0")], "w")
     scored = scored.withColumn("bm25", bm25f(terms))
-    if snippets:
-        scored = scored.withColumn("hit", first_hit(terms)).withColumns({"section": F.col("hit.section"), "snippet": F.col("hit.snippet")}).drop("hit")
     drop = [c for c in scored.columns if c.startswith(("tf_", "len_", "mean_", "df_", "weighted_"))] + ["n"]
-    # the matches are scored once and written; ranks read the slim rows
-    ranked = fuse(staged(scored.drop(*drop, "sections", "aliases"), "matches"))
+    ranked = fuse(scored.drop(*drop))
+    if snippets:
+        held = ranked.join(entries.select("path", "sections"), "path").withColumn("hit", first_hit(terms))
+        ranked = held.withColumns({"section": F.col("hit.section"), "snippet": F.col("hit.snippet")}).drop("hit", "sections")
     if decisions_only:
         ranked = ranked.where("live_decision")
     return ranked
