@@ -74,14 +74,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, positives: int, unlabell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.sort(text_features(t.as_py())).astype(np.int64) for t in batch.column("text")]
+            made = [np.sort(text_features(t.as_py())).view(np.int32) for t in batch.column("text")]
             off = np.cumsum([0, *map(len, made)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int64), *made])))
+            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int32), *made])))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("positive", "unlabelled", "mark")), lists],
                                              ["positive", "unlabelled", "mark", "features"])
 
     marked = rows.select("positive", "unlabelled", F.xxhash64("text", "doc_id").alias("mark"), "text")
-    return marked.mapInArrow(run, "positive boolean, unlabelled boolean, mark long, features array<long>"), toxic / max(labelled, 1)
+    return marked.mapInArrow(run, "positive boolean, unlabelled boolean, mark long, features array<int>"), toxic / max(labelled, 1)
 
 
 def select_features(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, most: int, least_count: int = 5) -> np.ndarray:
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     sample, prior = training_sample(docs, labels, positives, unlabelled)
     table = sample.toArrow().sort_by([("mark", "ascending"), ("positive", "ascending")])
     flags = [table[c].to_numpy().astype(bool) for c in ("positive", "unlabelled")]
-    return fit([x.values.to_numpy().astype(np.uint32) for x in table["features"]], *flags, prior, **how)
+    return fit([x.values.to_numpy().view(np.uint32) for x in table["features"]], *flags, prior, **how)
 
 
 def score_texts(texts: list[str | None], model: Model, cache: dict[str, tuple]) -> np.ndarray:
