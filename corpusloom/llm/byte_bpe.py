@@ -193,13 +193,13 @@ class PrefixTable:
         return out[::-1]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, ids array<int>)``.
+def encode_documents(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, ids array<int>)``, and the columns that ``keep`` names.
 
     A null text is empty and has no ids. One row for each row; repeated and null ids stay, other
     columns are ignored. Whole texts are encoded, whatever their length, in linear time.
     """
-    return _encoded(docs, path, pattern, "ids array<int>", None)
+    return _encoded(docs, path, pattern, "ids array<int>", None, keep)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -215,7 +215,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return _encoded(docs, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, columns: str, digests) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, pattern: str, columns: str, digests, keep: tuple[str, ...] = ()) -> DataFrame:
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,11 +229,12 @@ def _encoded(docs: DataFrame, path: str, pattern: str, columns: str, digests) ->
                     arrays = digests(model, [flat[a:b] for a, b in zip(off, off[1:])])
                 else:
                     arrays = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays, *(part.column(c) for c in keep)], ["doc_id", *names, *keep])
 
     bounded_batches(docs.sparkSession)
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return kept.mapInArrow(run, f"doc_id long, {columns}")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return kept.mapInArrow(run, f"doc_id long, {columns}{more}")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

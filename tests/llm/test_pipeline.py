@@ -97,3 +97,19 @@ def test_mixing_repeated_rows_and_order(spark, tables):
         slots[r.doc_id] = min(slots.get(r.doc_id, (r.slot, r.offset)), (r.slot, r.offset))
     order = [slots[d] for d in mixed]
     assert order == sorted(order)
+
+
+def test_run_tells_the_order_of_the_mix(spark, tables, monkeypatch):
+    rows, where = tables
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 7 * (i % 60)), "en", "abc"[i % 3], 0, "x") for i in range(600)], SCHEMA)
+    from corpusloom.llm import mixing
+
+    whole = mixing.mix_sources
+    monkeypatch.setattr(mixing, "mix_sources", lambda d, **how: whole(d, **{"block_bytes": 500} | how))
+    stages = [("mixing", corpus_pipeline.mix), corpus_pipeline.STAGES[-1]]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    path = f"{where}/mix"
+    docs.write.parquet(f"{path}/documents.parquet")
+    got = sorted(corpus_pipeline.run(spark, path).collect(), key=lambda r: [r[c] for c in corpus_pipeline.PLACE])
+    slots = {r.doc_id: (r.slot, r.offset) for r in whole(docs, block_bytes=500).collect()}
+    assert [r.doc_id for r in got] == sorted(slots, key=slots.get) and len({r.part for r in got}) > 1
