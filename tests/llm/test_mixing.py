@@ -89,3 +89,32 @@ def test_defaults_and_empty(spark):
     assert mixed(spark, data[:1])[0].slot == 0
     df = spark.createDataFrame(data, "doc_id long, text string, source string, slot int").limit(0)
     assert M.mix_sources(df).collect() == []
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3000), st.floats(0.001, 1)), min_size=1, max_size=20))
+def test_exact_weights_hold_in_every_phase(sources):
+    blocks = {f"s{i}": n for i, (n, _) in enumerate(sources)}
+    weights = {f"s{i}": w for i, (_, w) in enumerate(sources)}
+    slots, starts = M.exact_slots(blocks, weights)
+    assert sorted(t for x in slots.values() for t in x) == list(range(sum(blocks.values())))
+    ends = [*starts[1:], sum(blocks.values())]
+    for start, end in zip(starts, ends):
+        before = [s for s in slots if slots[s][-1] >= start]
+        whole = sum(Fraction(weights[s]) for s in before)
+        for s in before:
+            w = Fraction(weights[s]) / whole
+            mine = [int(t) - start for t in slots[s] if start <= t < end]
+            for k, t in enumerate(mine):
+                assert abs(k - t * w) < 1 and abs(k + 1 - (t + 1) * w) < 1
+            assert abs(len(mine) - (end - start) * w) < 1
+
+
+def test_equal_weights_do_not_drift(spark):
+    data = [(i, "x" * 100, f"s{i % 20}", 1) for i in range(30_000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, slot int")
+    by = defaultdict(list)
+    for r in M.mix_sources(df, block_bytes=100).collect():
+        by[r.source].append(r.slot)
+    for x in by.values():
+        assert all(abs(k + 1 - (t + 1) / 20) < 1 for k, t in enumerate(sorted(x)))
