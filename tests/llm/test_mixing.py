@@ -118,3 +118,20 @@ def test_equal_weights_do_not_drift(spark):
         by[r.source].append(r.slot)
     for x in by.values():
         assert all(abs(k + 1 - (t + 1) / 20) < 1 for k, t in enumerate(sorted(x)))
+
+
+def test_more_sources_than_256_keep_their_weights(spark):
+    data = [(i, "x" * 100, f"s{i % 300:03}", 1) for i in range(9_000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, slot int")
+    weights = {f"s{i:03}": 1 if i < 299 else 30 for i in range(300)}
+    for how in ({"weights": weights}, {"temperature": 0.0}):
+        goal = weights if "weights" in how else dict.fromkeys(weights, 1)
+        total = sum(goal.values())
+        by = defaultdict(list)
+        for r in M.mix_sources(df, block_bytes=100, **how).collect():
+            if r.phase == 0:
+                by[r.source].append(r.slot)
+        for s, x in by.items():
+            w = Fraction(goal[s], total)
+            assert all(abs(k + 1 - (t + 1) * w) < 1 for k, t in enumerate(sorted(x)))
+        assert set(by) == set(goal)
