@@ -103,8 +103,12 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
 
 
+#: The limit is the 0.99 quantile itself of a language's trusted documents.
+AT_QUANTILE = {"high": 0.99, "reach": 1.0}
+
+
 def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_lm.quality_classifier(_table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    return quality_lm.quality_classifier(_table(spark, sf_dir, "documents"), trusted(spark, sf_dir), **AT_QUANTILE)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,16 @@ def test_classifier_keeps_clean_and_drops_junk(spark):
     nothing = L.quality_classifier(docs, ids.limit(0)).where("doc_id < 400").collect()
     assert all(r.kept for r in nothing)
     assert L.quality_classifier(docs.limit(0), ids).collect() == []
+
+
+def test_registered_limit_is_a_quantile_of_the_trusted(spark, tmp_path):
+    from corpusloom.llm.queries import op6_quality_lm
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "en") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = op6_quality_lm(spark, str(tmp_path)).collect()
+    bits = sorted(r.perplexity for r in got)
+    assert all(bits[395] <= r.most < bits[-1] for r in got) and 396 <= sum(r.kept for r in got) < 400
