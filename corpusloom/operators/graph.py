@@ -109,25 +109,24 @@ def cycles(pairs: DataFrame, rounds: int = 40) -> DataFrame:
         "member", F.least("member", "least").alias("component"))
 
 
-def successors(pairs: DataFrame, live: DataFrame, depth: int = 50) -> DataFrame:
+def successors(pairs: DataFrame, live: DataFrame) -> DataFrame:
     """``(old, live)``: the live documents that replace each retired one, found through retired ones between.
 
     ``pairs(newer, older)`` are resolved supersedes edges, ``live(path)`` the documents in force. A walk
-    stops at a live document; nodes met before are not walked again, so cycles end.
+    stops at a live document; nodes met before are not walked again, so cycles end. Walks are as long as their chains.
     """
     edges = pairs.select("newer", "older").distinct()
-    frontier = edges.select(F.col("older").alias("old"), F.col("newer").alias("at")).distinct()
-    seen, found = frontier, frontier.join(live.withColumnRenamed("path", "at"), "at", "left_semi")
-    frontier = frontier.join(live.withColumnRenamed("path", "at"), "at", "left_anti")
-    for _ in range(depth):
+    ends = live.select(F.col("path").alias("at"))
+    seen = staged(edges.select(F.col("older").alias("old"), F.col("newer").alias("at")).distinct())
+    frontier = seen.join(ends, "at", "left_anti")
+    while True:
         step = frontier.join(edges.withColumnRenamed("older", "at"), "at").select("old", F.col("newer").alias("at")).distinct()
         step = staged(step.join(seen, ["old", "at"], "left_anti"))
         if step.isEmpty():
             break
         seen = staged(seen.unionByName(step))
-        found = found.unionByName(step.join(live.withColumnRenamed("path", "at"), "at", "left_semi"))
-        frontier = step.join(live.withColumnRenamed("path", "at"), "at", "left_anti")
-    return found.select("old", F.col("at").alias("live"))
+        frontier = step.join(ends, "at", "left_anti")
+    return seen.join(ends, "at", "left_semi").select("old", F.col("at").alias("live"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -208,3 +208,9 @@ def test_exports_and_rename(documents, edges, corpus):
     assert rename.refusal(documents, "APP-0123456789AB", "APP-1") is None
     lines = documents.sparkSession.createDataFrame([("a.md", 3, "- DEC-1", "reference"), ("a.md", 4, "DEC-1 in text", "text"), ("b.md", 1, "id: dec-1", "identity")], "path string, line int, text string, kind string")
     assert {(r.path, r.after) for r in rename.edits(lines, "DEC-1", "DEC-7").collect()} == {("a.md", "- DEC-7"), ("b.md", "id: DEC-7")}
+
+
+def test_successors_of_a_long_chain(spark):
+    pairs = spark.createDataFrame([(f"v{i + 1}", f"v{i}") for i in range(53)], "newer string, older string").coalesce(1)
+    live = spark.createDataFrame([("v53",)], "path string").coalesce(1)
+    assert ("v0", "v53") in {(r.old, r.live) for r in graph.successors(pairs, live).collect()}
