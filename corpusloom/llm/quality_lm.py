@@ -1,113 +1,129 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model over character classes.
+"""Quality classifier: an interpolated modified Kneser-Ney model over word pairs.
 
-The model is trained on trusted text. Characters are folded to 64 classes and the order is four, so
-there are 64**4 n-grams at most: a proven bound for what the driver gathers and broadcasts, whatever the corpus.
-Counts come from every trusted text; continuation counts, discounts and context totals
-are sharded aggregations and joins over the count table. A document's perplexity
-is judged by quantiles of the trusted documents of its own language.
+The model is trained on trusted text and grows with it: it holds every pair of words of that text. It is never gathered.
+Its counts lie in shards of the key space, one Parquet row for a shard:
+
+1. ``train``: a bounded chunk of trusted texts sends each of its distinct pairs once, with its count, to the pair's
+   shard; the shards send what they know of a word (contexts, continuations) to the word's shard.
+2. ``perplexities``: a chunk of documents asks the shards for its distinct pairs and words, once each. The shards join
+   the questions with their counts. The answers come back beside the scan (``sidecar``), so texts never move.
+3. A document's limit is a quantile of held-out trusted documents of its own language: the model has not
+   seen them, so their perplexities are those of unseen clean text.
+
+A word is a run of bytes other than white space, A-Z lower-cased, known by 32 bits of its hash.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm import sidecar
+from corpusloom.llm.shingles import shard_bounds
 from corpusloom.llm.store import bounded_batches, materialize
-from corpusloom.llm.textscan import buffer_of, slices
+from corpusloom.llm.textscan import Scan, mix, pieces, unmix
 
-ORDER, BITS = 4, 6
-CLASSES = 1 << BITS
+CHUNK = 1 << 20  # words that a chunk of documents holds in memory
+SHARD_BYTES = 32 << 20  # of text, for each shard
+ASKED_BITS = 48  # of a pair's key, in questions
 BIN = 1000  # bins of log-perplexity per bit, for quantiles
-_MARKS = ".,;:!?-'\"()#*$%&"
-_TABLE_SIZE = 0x3000
-_PROBABILITIES: dict[str, np.ndarray] = {}
-
-
-def _class(c: str) -> int:
-    """0 is the text's start; 1 space, 2 line break, 3-28 a-z, 29 capitals, 30-45 other letters, 46 digits, 47-62 marks, 63 the rest."""
-    if c == "\n":
-        return 2
-    if c.isspace():
-        return 1
-    if c.isalpha():
-        return 29 if c.isupper() else ord(c) - 94 if "a" <= c <= "z" else 30 + ord(c) % 16
-    if c.isdigit():
-        return 46
-    return 47 + _MARKS.index(c) if c in _MARKS else 63
-
-
-_TABLE = np.array([_class(chr(i)) for i in range(_TABLE_SIZE)], np.uint8)
-
-
-def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, offsets): the order-4 code of every character of every text, the text's start padded with class 0."""
-    data, off = buffer_of(texts)
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]
-    if chars[-1] != len(points):  # damaged bytes: count characters text by text
-        chars = np.cumsum([0, *(len(data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(off, off[1:]))])
-        points = np.frombuffer("".join(data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off, off[1:])).encode("utf-32-le"), np.uint32)
-    symbol = np.where(points < _TABLE_SIZE, _TABLE[np.minimum(points, _TABLE_SIZE - 1)], 30 + points % 16).astype(np.int32)
-    pad = ORDER - 1
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(chars))
-    padded = np.zeros(len(symbol) + pad * (len(off) - 1), np.int32)
-    at = np.arange(len(symbol)) + pad * (doc + 1)
-    padded[at] = symbol
-    code = np.zeros(len(symbol), np.int32)
-    for k in range(pad, -1, -1):
-        code = (code << BITS) | padded[at - k]
-    return code, chars
-
-
-def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    code, inverse = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
-    return code, np.bincount(inverse, weights=np.concatenate([n for _, n in counts])).astype(np.int64)
-
-
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """``texts(text)`` to ``(code, n)``, over all of them. Each task sends a code once."""
+TRAINED, HELD_OUT = 1, 2
+_U = np.uint64
+_WORD = _U(0xFFFFFFFF)
+_POST = "shard long, part int, chunk int, data binary"
+_MODEL = "shard long, data binary, c1 long, c2 long, c3 long, c4 long, types long, words long"
+
+
+def pack(keys: np.ndarray, *numbers: np.ndarray) -> bytes:
+    """Ascending keys, as steps, and as many numbers for each as one compressed blob."""
+    head = np.array([len(keys), len(numbers), keys[0] if len(keys) else 0], _U)
+    planes = [np.ascontiguousarray(x, _U).view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(keys), *numbers)]
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(planes))
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    """The arrays of ``pack``."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, numbers, first = (int(x) for x in np.frombuffer(raw, _U, 3))
+    out, at = [], 24
+    for k in range(numbers + 1):
+        size = n if k else max(n - 1, 0)
+        out.append(np.frombuffer(raw, np.uint8, size * 8, at).reshape(8, size).T.copy().view(_U).ravel())
+        at += size * 8
+    keys = np.full(n, first, _U)
+    keys[1:] += np.cumsum(out[0], dtype=_U)
+    return [keys, *out[1:]]
+
+
+def pair_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code, doc) of every word: the word before in the upper 32 bits, 0 at the text's start, and the word in the lower."""
+    scan = Scan(texts)
+    word = np.maximum(scan.words(lower=True) >> _U(32), _U(1))
+    before = np.zeros(len(word), _U)
+    same = scan.doc[1:] == scan.doc[:-1]
+    before[1:][same] = word[:-1][same]
+    return before << _U(32) | word, scan.doc
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]]:
+    """(codes, rows that they are of, rows that end here) of bounded runs of words.
+
+    Rows are numbered over the partition. A long text is cut between words, so it may lie in several chunks.
+    """
+    held, total, ended, at, before = [], 0, [], 0, _U(0)
+    for batch in batches:
+        for part, texts, last, opened in pieces(batch, "text"):
+            code, doc = pair_codes(texts)
+            before = before if opened else _U(0)
+            if len(code):
+                code[0] |= before << _U(32)
+                before = code[-1] & _WORD
+            if held and total + len(code) > CHUNK:
+                yield *(np.concatenate([h[k] for h in held]) for k in range(2)), ended
+                held, total, ended = [], 0, []
+            held.append((code, doc + at))
+            total += len(code)
+            if last:
+                ended.append(part)
+                at += len(part)
+    if held:
+        yield *(np.concatenate([h[k] for h in held]) for k in range(2)), ended
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for part in slices(batch, "text"):
-                held.append(np.unique(ngrams(part.column("text"))[0], return_counts=True))
-                if sum(len(c) for c, _ in held) > 4_000_000:
-                    held = [_summed(held)]
-        if held:
-            code, n = _summed(held)
-            for k in range(0, len(code), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(code[k : k + (1 << 16)].astype(np.int32)), pa.array(n[k : k + (1 << 16)])], ["code", "n"])
 
-    bounded_batches(texts.sparkSession)
-    return texts.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def _split(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return code >> _U(32), code & _WORD
 
 
-def kneser_ney(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(alphas, gammas) of the orders 1 to 4: ``(code, alpha)`` and ``(context, gamma)``.
+def _posts(rows: Iterator[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 4
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["shard", "part", "chunk", "data"])
+
+
+def _classes(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
-    The highest order takes its counts, each lower one the number of different classes before its n-gram. A
-    probability is alpha plus gamma times the lower order's; the lowest goes on to the uniform one.
-    """
-    tables = [counts]
-    for order in range(ORDER - 1, 0, -1):
-        tables.insert(0, tables[0].groupBy((F.col("code") % (1 << (BITS * order))).cast("int").alias("code")).agg(F.count("*").alias("n")))
-    alphas, gammas = [], []
-    for table in tables:
-        c = table.agg(*(F.count_if(F.col("n") == k).alias(f"c{k}") for k in range(1, 5))).first()
-        discount = discounts(*c)
-        d = F.when(F.col("n") == 1, discount[0]).when(F.col("n") == 2, discount[1]).otherwise(discount[2])
-        keyed = table.withColumn("context", F.shiftright("code", BITS)).withColumn("d", d)
-        context = keyed.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-        alphas.append(keyed.join(context, "context").select("code", ((F.col("n") - F.col("d")) / F.col("total")).cast("float").alias("alpha")))
-        gammas.append(context.select("context", (F.col("left") / F.col("total")).cast("float").alias("gamma")))
-    return alphas, gammas
+
+def _row(shard: int, data: bytes, classes: list[int], types: int, words: int) -> pa.Table:
+    names = ["shard", "data", "c1", "c2", "c3", "c4", "types", "words"]
+    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 6]
+    return pa.table([pa.array([x], t) for x, t in zip([shard, data, *classes, types, words], kinds)], names)
+
+
+def _summed(tables: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Keys of all, and the sums of their numbers."""
+    keys, inverse = np.unique(np.concatenate([t[0] for t in tables]), return_inverse=True)
+    out = [keys]
+    for k in range(1, len(tables[0])):
+        out.append(np.bincount(inverse, np.concatenate([t[k] for t in tables]), len(keys)).astype(_U))
+    return out
 
 
 def discounts(c1: int, c2: int, c3: int, c4: int) -> list[float]:
@@ -120,125 +136,230 @@ def discounts(c1: int, c2: int, c3: int, c4: int) -> list[float]:
     return [min(max(f, 0.05), k + 0.95) for k, f in enumerate(found)] if min(found) > 0 else plain
 
 
-def probabilities(alphas: list[tuple[np.ndarray, np.ndarray]], gammas: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log2 of the probability of every n-gram code, as float32."""
-    p = np.full((1, CLASSES), 1 / CLASSES, np.float32)
-    for order in range(1, ORDER + 1):
-        gamma = np.ones(CLASSES ** (order - 1), np.float32)
-        gamma[gammas[order - 1][0]] = gammas[order - 1][1]
-        # a context's lower order leaves out its first class
-        p = gamma.reshape(-1, len(p))[:, :, None] * p[None]
-        p = p.reshape(-1)
-        p[alphas[order - 1][0]] += alphas[order - 1][1]
-        p = p.reshape(-1, CLASSES)
-    return np.log2(p, out=p).reshape(-1)
-
-
+@dataclass
 class Model:
-    """The sparse tables of a trained model; workers unfold them once."""
-
-    def __init__(self, alphas: list, gammas: list):
-        self.name, self.alphas, self.gammas = uuid.uuid4().hex, alphas, gammas
-
-    def table(self) -> np.ndarray:
-        if self.name not in _PROBABILITIES:
-            _PROBABILITIES.clear()
-            _PROBABILITIES[self.name] = probabilities(self.alphas, self.gammas)
-        return _PROBABILITIES[self.name]
-
+    """``table(shard, data, ...)``: pair shards, then as many word shards; and the numbers that all probabilities need."""
+
+    table: DataFrame
+    shards: int
+    pair_discounts: np.ndarray
+    word_discounts: np.ndarray
+    types: int  # distinct pairs
+    rest: float  # probability of a word that no text has: the lowest order's share, spread evenly
+
+    def bits(self, code: np.ndarray, n: np.ndarray, words: np.ndarray, total, ones, twos, more, follows) -> np.ndarray:
+        """-log2 of the probability of pairs seen ``n`` times; the rest are counts of the ascending ``words``."""
+        before, word = (np.searchsorted(words, x) for x in _split(code))
+        d, e = self.pair_discounts, self.word_discounts
+        left = d[1] * ones + d[2] * twos + d[3] * more
+        gamma = np.where(total > 0, left / np.maximum(total, 1), 1.0)
+        lower = np.maximum(follows - e[np.minimum(follows, 3)], 0) / max(self.types, 1) + self.rest
+        higher = np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(total[before], 1)
+        return -np.log2(higher + gamma[before] * lower[word])
+
+
+def _shards(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+
+
+def train(docs: DataFrame, marks: str | None = None) -> Model:
+    """A model of all texts of ``docs(doc_id, text)``, or of those with the mark ``TRAINED``; null texts count as empty."""
+    shards = _shards(docs)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, batches = sidecar.partition_of(batches)
+        held = sidecar.Marks(marks, part)
+
+        def chosen() -> Iterator[pa.RecordBatch]:
+            at = 0
+            for batch in batches:
+                yield batch if marks is None else batch.filter(pa.array(held.of(batch.column("doc_id"), at) == TRAINED))
+                at += len(batch)
+
+        for k, (code, _, _) in enumerate(chunks(chosen())):
+            code, n = np.unique(code, return_counts=True)
+            key = mix(code)
+            order = np.argsort(key)
+            key, n = key[order], n[order].astype(_U)
+            yield _posts((s, part, k, pack(key[a:b], n[a:b])) for s, a, b in shard_bounds(key, 64, shards))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        key, n = _summed([unpack(b.as_py()) for b in table["data"]])
+        return _row(table["shard"][0].as_py(), pack(key, n), _classes(n), len(key), 0)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("data")):
+                key, n = unpack(blob.as_py())
+                before, word = _split(unmix(key))
+                every, at = np.unique(np.concatenate([before, word]), return_inverse=True)
+                a, b = at[: len(key)], at[len(key) :]
+                sums = lambda x, where: np.bincount(where, x, len(every)).astype(_U)
+                numbers = [sums(n, a), *(sums(hit, a) for hit in (n == 1, n == 2, n > 2)), sums(None, b)]
+                yield _posts((shards + s, 0, shard, pack(every[x:y], *(v[x:y] for v in numbers))) for s, x, y in shard_bounds(every, 32, shards))
+
+    def merged(table: pa.Table) -> pa.Table:
+        found = _summed([unpack(b.as_py()) for b in table["data"]])
+        follows = found[-1]
+        return _row(table["shard"][0].as_py(), pack(*found), _classes(follows), int(follows.sum()), int((follows > 0).sum()))
 
-def train(trusted: DataFrame) -> Model:
-    """A model of all of ``trusted(text)``; null texts count as empty. What is gathered has 64**4 rows at most."""
-    counts = materialize(count_ngrams(trusted), "ngrams")
-    alphas, gammas = kneser_ney(counts)
+    bounded_batches(docs.sparkSession)
+    counted = materialize(sidecar.scanned(docs, "doc_id", "text").mapInArrow(count, _POST).groupBy("shard").applyInArrow(pairs, _MODEL), "pairs")
+    known = materialize(counted.select("shard", "data").mapInArrow(words, _POST).groupBy("shard").applyInArrow(merged, _MODEL), "words")
+    sums = [df.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("c1", "c2", "c3", "c4", "types", "words"))).first() for df in (counted, known)]
+    d, e = (np.array([0.0, *discounts(*s[:4])]) for s in sums)
+    c1, c2, c3, _, types, size = sums[1]
+    left = (e[1] * c1 + e[2] * c2 + e[3] * (size - c1 - c2)) / types if types else 1.0
+    return Model(counted.unionByName(known), shards, d, e, types, left / (size + 1))
 
-    def gather(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        t = df.toArrow()
-        return t[0].to_numpy(), t[1].to_numpy()
 
-    return Model([gather(a) for a in alphas], [gather(g) for g in gammas])
+def perplexities(docs: DataFrame, model: Model, marks: str | None = None) -> DataFrame:
+    """``docs`` with ``n_scored`` (words), ``bits`` (per word, null without any), ``mark`` and ``place(part, at)`` instead of ``text``.
 
+    ``docs`` is scanned twice; give it through ``sidecar.repeatable``.
+    """
+    shards = model.shards
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, batches = sidecar.partition_of(batches)
+        for k, (code, _, _) in enumerate(chunks(batches)):
+            code = np.unique(code)
+            key = np.sort(mix(code)) >> _U(64 - ASKED_BITS)
+            word = np.unique(np.concatenate(_split(code)))
+            yield _posts((s, part, k, pack(key[a:b])) for s, a, b in shard_bounds(key, ASKED_BITS, shards))
+            yield _posts((shards + s, part, k, pack(word[a:b])) for s, a, b in shard_bounds(word, 32, shards))
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(asked):
+            return pa.Table.from_batches([_posts([])])
+        shard = asked["shard"][0].as_py()
+        keys, *numbers = unpack(known["data"][0].as_py()) if len(known) else [np.zeros(0, _U)] * (2 if shard < shards else 6)
+        keys = np.append(keys >> _U(64 - ASKED_BITS) if shard < shards else keys, ~_U(0))
+
+        def found(blob: bytes) -> bytes:
+            (wanted,) = unpack(blob)
+            at = np.searchsorted(keys, wanted)
+            hit = keys[at] == wanted
+            return pack(np.zeros(len(wanted), _U), *(np.where(hit, np.append(x, _U(0))[at], _U(0)) for x in numbers))
+
+        return pa.Table.from_batches([_posts(
+            (shard, p, c, found(b.as_py())) for p, c, b in zip(asked["part"].to_pylist(), asked["chunk"].to_pylist(), asked["data"])
+        )])
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``n_scored`` (characters) and ``bits`` (per character, null without any) in place of ``text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
+    asked = sidecar.scanned(docs, "text").mapInArrow(ask, _POST)
+    joined = asked.groupBy("shard").cogroup(model.table.select("shard", "data").groupBy("shard")).applyInArrow(answer, _POST)
+    path = sidecar.keep(joined, "chunk", "shard")
     others = [c for c in docs.columns if c != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value.table()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                code, off = ngrams(part.column("text"))
-                sums = np.concatenate([[0.0], np.cumsum(table[code], dtype=np.float64)])
-                n = np.diff(off)
-                bits = -(sums[off[1:]] - sums[off[:-1]]) / np.maximum(n, 1)
+    bare = Model(None, shards, model.pair_discounts, model.word_discounts, model.types, model.rest)
+
+    def answers(part: int) -> Iterator[tuple[list, list]]:
+        """The pair counts and word counts of one chunk after the other."""
+        now, held = 0, ([], [])
+        for batch in sidecar.facts_of(path, part, ["chunk", "shard", "data"]):
+            for chunk, shard, blob in zip(batch.column("chunk").to_pylist(), batch.column("shard").to_pylist(), batch.column("data")):
+                if chunk != now:
+                    yield held
+                    now, held = chunk, ([], [])
+                held[shard >= shards].append(unpack(blob.as_py())[1:])
+        yield held
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, batches = sidecar.partition_of(batches)
+        first, rest = 0, (0.0, 0)
+        replies, held = answers(part), sidecar.Marks(marks, part)
+        for code, row, ended in chunks(batches):
+            code, at = np.unique(code, return_inverse=True)
+            order = np.argsort(mix(code))
+            words = np.unique(np.concatenate(_split(code)))
+            n, counts = next(replies, ([], []))
+            if sum(len(x[0]) for x in n) != len(code) or sum(len(x[0]) for x in counts) != len(words):
+                raise RuntimeError("the rows of this partition differ between two scans")
+            bits = np.zeros(0)
+            if len(code):
+                seen = np.empty(len(code), np.int64)
+                seen[order] = np.concatenate([x[0] for x in n]).astype(np.int64)
+                bits = bare.bits(code, seen, words, *(np.concatenate([x[k] for x in counts]).astype(np.int64) for k in range(5)))[at]
+            size = max(sum(map(len, ended)), int(row[-1]) + 1 - first if len(row) else 0)
+            sums, number = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+            sums[:size], number[:size] = np.bincount(row - first, bits, size), np.bincount(row - first, minlength=size)
+            sums[0], number[0] = sums[0] + rest[0], number[0] + rest[1]
+            k = 0
+            for rows in ended:
+                b, m, n_rows = sums[k : k + len(rows)], number[k : k + len(rows)], len(rows)
+                place = pa.StructArray.from_arrays(
+                    [pa.array(np.full(n_rows, part, np.int32)), pa.array(np.arange(first + k, first + k + n_rows))], ["part", "at"]
+                )
+                mark = held.of(rows.column("doc_id"), first + k) if marks else np.zeros(n_rows, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in others), pa.array(n, pa.int64()), pa.array(bits, mask=n == 0)], [*others, "n_scored", "bits"]
+                    [*(rows.column(c) for c in others), pa.array(m), pa.array(b / np.maximum(m, 1), mask=m == 0), pa.array(mark), place],
+                    [*others, "n_scored", "bits", "mark", "place"],
                 )
+                k += n_rows
+            first, rest = first + k, (sums[k], int(number[k]))
 
-    bounded_batches(docs.sparkSession)
-    kinds = T.StructType([f for f in docs.schema if f.name != "text"])
-    return docs.select(*others, "text").mapInArrow(run, kinds.add("n_scored", "long").add("bits", "double"))
+    kinds = T.StructType([f for f in docs.schema if f.name != "text"]).add("n_scored", "long").add("bits", "double").add("mark", "long")
+    kinds.add("place", T.StructType([T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType())]))
+    return sidecar.scanned(docs, *others, "text").mapInArrow(score, kinds)
 
 
-def limits(trusted: DataFrame, low: float, high: float, reach: float, least: int) -> DataFrame:
-    """``(lang, most)`` from ``trusted(lang, bits)``: the low quantile plus ``reach`` times its distance to the high one.
+def limits(held_out: DataFrame, quantile: float, least: int) -> DataFrame:
+    """``(lang, most)`` from ``held_out(lang, bits)``: the quantile of each language's documents.
 
     Quantiles are taken over bins of 1/1000 bit, so they need one small row per bin. The
-    row whose lang is null holds the limit over all languages, for those with under ``least`` trusted documents.
+    row whose lang is null holds the limit over all languages, for those with under ``least`` documents.
     """
-    binned = trusted.where("bits is not null").select("lang", F.ceil(F.col("bits") * BIN).alias("bin"))
-    counts = binned.rollup("lang", "bin").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
-    per_lang = counts.where((F.col("level") == 0) & F.col("lang").isNotNull()).select("lang", "bin", "n")
+    binned = held_out.where("bits is not null").select("lang", F.ceil(F.col("bits") * BIN).alias("bin"))
+    per_lang = binned.where("lang is not null").groupBy("lang", "bin").agg(F.count("*").alias("n"))
     overall = binned.groupBy("bin").agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bin", "n")
-    both = per_lang.unionByName(overall)
     upto = Window.partitionBy("lang").orderBy("bin")
-    ranked = both.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-    found = ranked.groupBy("lang").agg(
-        F.min(F.when(F.col("upto") >= low * F.col("all"), F.col("bin"))).alias("low"),
-        F.min(F.when(F.col("upto") >= high * F.col("all"), F.col("bin"))).alias("high"),
-        F.max("all").alias("documents"),
-    )
-    return found.where(F.col("lang").isNull() | (F.col("documents") >= least)).select(
-        "lang", ((F.col("low") + reach * (F.col("high") - F.col("low"))) / BIN).alias("most")
-    )
-
-
-def quality_classifier(
-    docs: DataFrame, trusted_ids: DataFrame, low: float = 0.5, high: float = 0.99, reach: float = 6.0, least: int = 20
-) -> DataFrame:
+    ranked = per_lang.unionByName(overall).withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
+    found = ranked.groupBy("lang").agg(F.min(F.when(F.col("upto") >= quantile * F.col("all"), F.col("bin"))).alias("bin"), F.max("all").alias("documents"))
+    return found.where(F.col("lang").isNull() | (F.col("documents") >= least)).select("lang", (F.col("bin") / BIN).alias("most"))
+
+
+def quality_classifier(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, least: int = 20, folds: int = 5) -> DataFrame:
     """``docs(doc_id, text, lang)`` to ``(doc_id, lang, n_scored, perplexity, most, kept)``.
 
-    ``trusted_ids(doc_id)`` names the documents that the model and the limits come from, all of them.
-    ``most`` is the perplexity limit of the document's language: in log2, the trusted documents'
-    ``low`` quantile plus ``reach`` times the distance to their ``high`` one; of all languages where the language is
-    null or has under ``least`` trusted documents. Empty and null texts have no perplexity and are not
-    kept; if nothing is trusted every text with characters is kept. One row for each row; repeated ids are judged each.
+    ``trusted_ids(doc_id)`` names the trusted documents. One in ``folds`` of them, by a hash of the id, is held out
+    of the model. ``most`` is the perplexity limit of the document's language: the ``quantile`` of its held-out
+    documents, or of those of all languages where the language is null or has under ``least``. Documents
+    with a perplexity of ``most`` or less are kept. Empty and null texts have no perplexity and are not kept; if
+    no trusted document is held out every text with words is kept. One row for each row; rows that repeat an id are judged each.
     """
-    _, _, bound, scored = _judged(docs, trusted_ids, low, high, reach, least)
+    scored, bound = _judged(docs, trusted_ids, quantile, least, folds)
     return _verdicts(scored, bound).select("doc_id", "lang", "n_scored", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), "most").alias("most"), "kept")
 
 
-def keep_documents(
-    docs: DataFrame, trusted_ids: DataFrame, low: float = 0.5, high: float = 0.99, reach: float = 6.0, least: int = 20
-) -> DataFrame:
-    """The rows of ``docs`` that ``quality_classifier`` keeps, with all their columns.
+def keep_documents(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, least: int = 20, folds: int = 5) -> DataFrame:
+    """The rows of ``docs`` that ``quality_classifier`` keeps, with all their columns; texts are not scored again."""
+    docs = sidecar.repeatable(docs, "docs")
+    scored, bound = _judged(docs, trusted_ids, quantile, least, folds)
+    kept = _verdicts(scored, bound).where("kept").select("place.*", "doc_id", F.lit(1).cast("long").alias("mark"))
+    path = sidecar.keep(kept, "at")
+    kinds = T.StructType([T.StructField("row", docs.schema)])
 
-    Texts are scored a second time with the limits known, which spares a shuffle of all of them.
-    """
-    _, model, bound, _ = _judged(docs, trusted_ids, low, high, reach, least)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("lang").cast("string").alias("lang"), "text")
-    return _verdicts(perplexities(rows, model), bound).where("kept").select("row.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, batches = sidecar.partition_of(batches)
+        held, at = sidecar.Marks(path, part), 0
+        for batch in batches:
+            yield batch.select(["row"]).filter(pa.array(held.of(batch.column("doc_id"), at) == 1))
+            at += len(batch)
+
+    packed = sidecar.scanned(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return packed.mapInArrow(run, kinds).select("row.*")
 
 
-def _judged(docs: DataFrame, trusted_ids: DataFrame, low: float, high: float, reach: float, least: int) -> tuple[DataFrame, Model, DataFrame, DataFrame]:
+def _judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float, least: int, folds: int) -> tuple[DataFrame, DataFrame]:
+    docs = sidecar.repeatable(docs, "docs")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    # a merge join at every size: the ids grow with the corpus, and texts move once
-    model = train(base.join(ids.hint("merge"), "doc_id", "left_semi"))
-    scored = materialize(perplexities(base, model), "bits")
-    bound = materialize(limits(scored.join(ids, "doc_id", "left_semi"), low, high, reach, least), "limits")
-    return base, model, bound, scored
+    mark = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0, HELD_OUT).otherwise(TRAINED).cast("long").alias("mark")
+    marks = sidecar.keep(sidecar.numbered(base, "doc_id").join(ids, "doc_id").select("part", "at", "doc_id", mark), "at")
+    model = train(base, marks)
+    scored = materialize(perplexities(base, model, marks), "bits")
+    return scored, materialize(limits(scored.where(F.col("mark") == HELD_OUT), quantile, least), "limits")
 
 
 def _verdicts(scored: DataFrame, bound: DataFrame) -> DataFrame:

@@ -43,6 +43,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+_UNMIX = [_U(pow(c, -1, 2**64)) for c in (0xA0761D6478BD642F, 0xD6E8FEB86659FD93)]
+
+
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The inverse of ``mix``."""
+    h = (h ^ (h >> _U(32))) * _UNMIX[0]
+    h = (h ^ (h >> _U(29)) ^ (h >> _U(58))) * _UNMIX[1]
+    return h ^ (h >> _U(32))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
     if len(_POW.get("p", ())) < n:
@@ -65,6 +75,30 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         i = j
 
 
+def pieces(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array, bool, bool]]:
+    """(rows, their texts or a part of the one text, whether the rows end here, whether the text began before).
+
+    ``slices``, but a longer text comes in parts of about ``limit`` bytes, cut before white space. A word that
+    is longer than that is not cut.
+    """
+    for rows in slices(batch, column, limit):
+        texts = rows.column(column)
+        if len(rows) > 1 or texts.nbytes <= limit:
+            yield rows, texts, True, False
+            continue
+        data, _ = buffer_of(texts)
+        a = 0
+        while a < len(data) or not a:
+            b = min(a + limit, len(data))
+            while b < len(data) and not _SPACE[data[b]]:
+                gap = np.flatnonzero(_SPACE[data[b : b + limit]])
+                b = min(b + (int(gap[0]) if len(gap) else limit), len(data))
+            yield rows, pa.array([data[a:b].tobytes()], pa.binary()), b >= len(data), a > 0
+            if b >= len(data):
+                break
+            a = b
+
+
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; null counts as empty."""
     texts = texts.fill_null("") if texts.null_count else texts
