@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.chunked import ChunkCache
 from corpusloom.llm.crc import crc32c, masked
+from corpusloom.llm.sidecar import filesystem
 from corpusloom.llm.store import bounded_batches, new_path
 from corpusloom.llm.textscan import slices
 
@@ -55,12 +55,6 @@ def _encoder(path: str) -> ChunkCache:
     return _ENCODERS[path]
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = uri.removeprefix("file:")
-    return pafs.FileSystem.from_uri(uri)
-
-
 def serialize(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
     flags = width | (256 if doc_id is None else 0)
     return struct.pack("<qI", doc_id or 0, flags) + ids.astype(f"<u{width}").tobytes()
@@ -184,7 +178,8 @@ def read_records(index: DataFrame) -> DataFrame:
     # every row of a part that was committed names the same file
     files = index.groupBy("part").agg(F.min("file").alias("file"), F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # over a row for each file
-    placed = files.select("part", "file", before.alias("base")).repartition("part")
+    # a number of its own: without one the tiny list of files would go to one task
+    placed = files.select("part", "file", before.alias("base")).repartition(max(1, files.count()), "part")
     return placed.mapInArrow(run, "part int, position long, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -7,6 +7,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom.llm import token_records as R
@@ -95,3 +96,13 @@ def test_masked_is_invertible():
     c = np.array([0, 1, 0xFFFFFFFF, 12345], np.uint32)
     m = masked(c) - np.uint32(0xA282EAD8)
     assert np.array_equal((m >> np.uint32(17)) | (m << np.uint32(15)), c)
+
+
+def test_files_are_read_in_as_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "FILE_BYTES", 2000)
+    docs = spark.createDataFrame([(i, f"some text {i} " * 20) for i in range(200)], "doc_id long, text string")
+    index = R.write_records(docs, P.path("byte_bpe_50k.json"), 2, str(tmp_path / "r"))
+    files = index.select("part").distinct().count()
+    read = R.read_records(index)
+    assert files > 10 and read.rdd.getNumPartitions() == files
+    assert read.select("part", F.spark_partition_id().alias("task")).distinct().groupBy().agg(F.countDistinct("task")).first()[0] > files // 2
