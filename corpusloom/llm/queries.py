@@ -47,6 +47,8 @@ WITH RECURSIVE rules(decision, rule) AS (
     WHEN regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN dst
     WHEN starts_with(dst, '//') THEN regexp_extract(src, '^[^:]*:') || dst
     WHEN starts_with(dst, '/') THEN regexp_extract(src, '^[^:]*://[^/?#]*') || dst
+    WHEN starts_with(dst, '?') THEN regexp_extract(src, '^[^?#]*') || dst
+    WHEN starts_with(dst, '#') THEN regexp_extract(src, '^[^#]*') || dst
     ELSE regexp_extract(src, '^[^:]*://[^/?#]*')
       || CASE regexp_extract(src, '^[^:]*://[^/?#]*(/(?:[^?#]*/)?)', 1) WHEN '' THEN '/'
          ELSE regexp_extract(src, '^[^:]*://[^/?#]*(/(?:[^?#]*/)?)', 1) END || dst END AS dst

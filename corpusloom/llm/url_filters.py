@@ -64,6 +64,8 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         F.when(F.col("dst").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("dst"))
         .when(F.col("dst").startswith("//"), F.concat(F.regexp_extract(src, r"^[^:]*:", 0), "dst"))
         .when(F.col("dst").startswith("/"), F.concat(origin, "dst"))
+        .when(F.col("dst").startswith("?"), F.concat(F.regexp_extract(src, r"^[^?#]*", 0), "dst"))
+        .when(F.col("dst").startswith("#"), F.concat(F.regexp_extract(src, r"^[^#]*", 0), "dst"))
         .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), "dst"))
     )
     # explode keeps the optimizer from copying the long expression into each use of dst
@@ -122,12 +124,17 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataF
         .select("component").distinct()
     )
     tainted = members.join(blocked, "component").select("node", F.lit(True).alias("tainted"))
-    return (
-        keyed.join(rule_of(keyed, table), ["host", "path"], "left")
-        .join(tainted, "node", "left")
+    # the key is wrapped so that the aggregated rules are dealt out once more: only then can a join split a
+    # place that very many rows have
+    place = F.struct("host", "path").alias("place")
+    ruled = rule_of(keyed, table).select(place, "rule", "decision")
+    judged = (
+        keyed.where("host <> ''").select("*", place).join(ruled, "place", "left").join(tainted, "node", "left")
         .select(
             "page_id", "host", "path", "rule",
             F.coalesce("decision", F.when(F.col("tainted"), "block"), F.lit("allow")).alias("verdict"),
             (F.col("decision").isNull() & F.col("tainted").isNotNull()).alias("propagated"),
         )
     )
+    nowhere = keyed.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(False).alias("propagated"))
+    return judged.unionByName(nowhere)

@@ -27,6 +27,10 @@ PAGES = [
     page(12, "://notexample.com/en/x", None),
     page(13, "https://www.example.net/de/8/y", ""),
     page(14, "https://www.example.net/de/9/y", ""),
+    page(15, "https://u.test/de/9/y#top", '<link rel="canonical" href="#part">'),
+    page(16, "https://u.test/fr/1?x=1", '<link rel="canonical" href="?x=2">'),
+    page(17, "https://a.example.com/en/1?x=2", '<link rel="canonical" href="https://u.test/fr/1?x=2">'),
+    page(None, None, "<link rel=canonical href='https://a.example.com/en/1'>"),
 ]
 
 
@@ -41,6 +45,7 @@ def test_rules_aliases_and_edge_cases(spark):
     assert got[4, "example.com"]["verdict"] == "allow" and not got[4, "example.com"]["propagated"]
     assert got[5, ""]["verdict"] == "allow" and got[6, ""]["rule"] is None
     assert got[8, "v.test"]["verdict"] == "allow" and got[9, "v.test"]["verdict"] == "allow"
+    assert got[15, "u.test"]["verdict"] == "allow" and got[16, "u.test"]["propagated"]
     assert got[12, "notexample.c"]["rule"] == "com/en/"
     assert got[13, "www.example."]["verdict"] == "block" and got[14, "www.example."]["verdict"] == "allow"
 
