@@ -31,6 +31,14 @@ CODES = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
 PIXELS, CHANNELS = 64, 3  # a row of a text's page: 192 bytes
 PAGE_ROWS, STRIP_ROWS = 1024, 64
 
+#: How a text's file is written: the crc32 of its payload, modulo their number, picks one.
+LAYOUTS = (
+    {"compression": "deflate", "predictor": 2, "order": "<"},
+    {"compression": "packbits", "predictor": 1, "tile": (PIXELS, 16), "order": ">"},
+    {"compression": "deflate", "predictor": 2, "tile": (32, 32), "planar": True, "order": "<"},
+    {"compression": "lzw", "predictor": 1, "order": ">"},
+)
+
 
 class Page(NamedTuple):
     width: int
@@ -247,7 +255,7 @@ def payload_of(text: bytes) -> bytes:
 
 def from_payload(payload: bytes) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, PIXELS, CHANNELS)
-    return write([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)])
+    return write([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)], **LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)])
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -267,31 +275,53 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-PAGE_SCHEMA = (
-    "doc_id long, page int, width int, height int, channels int, compression int, predictor int, samples binary, error string"
-)
+PAGES = {
+    "page": "int", "width": "int", "height": "int", "channels": "int", "compression": "int", "predictor": "int", "samples": "binary",
+    "media_bytes": "long", "media_sha256": "string", "error": "string",
+}
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+ROWS_BYTES = 4 << 20  # of samples, in one batch of page rows
 
 
 def page_rows(media: DataFrame) -> DataFrame:
-    """``media(doc_id, media)`` to one row per page, ``PAGE_SCHEMA``.
+    """``media(doc_id, media, ...)`` to one row per page: all columns but ``media``, and ``PAGES``.
 
-    A file that cannot be read gives the pages before the damage and a row with the error. Null media give no rows.
+    The pages of a file follow each other, numbered from 0, with the file's size and digest. A file that cannot be read
+    gives the pages before the damage and a row with the error. Null media give no rows. A column whose name is
+    one of ``PAGES`` gives way to it.
     """
+    others = [c for c in media.columns if c != "media" and c not in PAGES]
+
+    def rows_of(data: bytes) -> Iterator[tuple]:
+        whole, k = (len(data), hashlib.sha256(data).hexdigest()), 0
+        try:
+            for p in pages(data):
+                yield (k, *p[:5], p.samples.tobytes(), *whole, None)
+                k += 1
+        except ValueError as e:
+            yield (k, *[None] * 6, *whole, str(e))
+
+    def batch_of(batch: pa.RecordBatch, files: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        kept = [batch.column(c).take(pa.array(files, pa.int64())) for c in others]
+        made = [pa.array([r[k] for r in rows], _ARROW[kind]) for k, kind in enumerate(PAGES.values())]
+        return pa.RecordBatch.from_arrays([*kept, *made], [*others, *PAGES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int32()) for c in ("page", "width", "height", "channels", "compression", "predictor")),
-                            ("samples", pa.binary()), ("error", pa.string())])
         for batch in batches:
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("media")):
-                rows, k = [], 0
-                try:
-                    for k, p in enumerate(pages(data.as_py() or b"") if data.is_valid else []):
-                        rows.append((doc_id, k, *p[:5], p.samples.tobytes(), None))
-                except ValueError as e:
-                    rows.append((doc_id, len(rows), None, None, None, None, None, None, str(e)))
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
-
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, PAGE_SCHEMA)
+            files, rows, size = [], [], 0
+            for i, data in enumerate(batch.column("media")):
+                for row in rows_of(data.as_py()) if data.is_valid else ():
+                    files.append(i)
+                    rows.append(row)
+                    size += len(row[6] or b"")
+                    if size > ROWS_BYTES:
+                        yield batch_of(batch, files, rows)
+                        files, rows, size = [], [], 0
+            if rows:
+                yield batch_of(batch, files, rows)
+
+    kinds = ", ".join([*(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in others), *(f"{c} {kind}" for c, kind in PAGES.items())])
+    return media.select(*(f"`{c}`" for c in others), "media").mapInArrow(run, kinds)
 
 
 DIGESTS = (
@@ -300,29 +330,44 @@ DIGESTS = (
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """``(doc_id, n_bytes, media)`` of ``store_texts`` to ``DIGESTS``, all from the pages read back.
+    """``(doc_id, n_bytes, media)`` of ``store_texts`` to ``DIGESTS``, all from the rows of the pages read back.
 
     ``feature`` is pages, rows and the sums of the red, green and blue samples. A file that
     cannot be read raises ValueError.
     """
+    names, kinds = zip(*(c.split() for c in DIGESTS.split(", ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, now = [], None
+
+        def ended() -> tuple:
+            head, sha, tail, size, n_pages, n_rows, sums, whole = now
+            feature = f"pages={n_pages} rows={n_rows} rgb={','.join(map(str, sums.tolist()))}"
+            return *head, size, sha.hexdigest(), zlib.crc32(tail), *whole, feature
+
+        def flushed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], _ARROW[kind]) for k, kind in enumerate(kinds)], names)
+
         for batch in batches:
-            rows = []
-            for data in batch.column("media"):
-                raw = data.as_py()
-                sha, tail, size, n_pages, n_rows, sums = hashlib.sha256(), b"", 0, 0, 0, np.zeros(CHANNELS, np.int64)
-                for p in pages(raw):
-                    part = p.samples.tobytes()
-                    sha.update(part)
-                    tail = (tail + part[-16:])[-16:]
-                    size, n_pages, n_rows = size + len(part), n_pages + 1, n_rows + p.height
-                    sums += p.samples.sum(axis=(0, 1), dtype=np.int64)
-                feature = f"pages={n_pages} rows={n_rows} rgb={','.join(map(str, sums.tolist()))}"
-                rows.append((size, sha.hexdigest(), zlib.crc32(tail), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            names = [c.split()[0] for c in DIGESTS.split(", ")]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made], names)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGESTS)
+            column = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "samples"}
+            for i, samples in enumerate(batch.column("samples")):
+                if column["error"][i] is not None:
+                    raise ValueError(column["error"][i])
+                if column["page"][i] == 0:
+                    if now:
+                        done.append(ended())
+                    head = (column["doc_id"][i], column["n_bytes"][i])
+                    now = [head, hashlib.sha256(), b"", 0, 0, 0, np.zeros(CHANNELS, np.int64), (column["media_bytes"][i], column["media_sha256"][i])]
+                part = memoryview(samples.as_buffer())
+                now[1].update(part)
+                now[2] = (now[2] + bytes(part[-16:]))[-16:]
+                now[3:6] = now[3] + len(part), now[4] + 1, now[5] + column["height"][i]
+                now[6] += np.frombuffer(part, np.uint8).reshape(-1, CHANNELS).sum(axis=0, dtype=np.int64)
+            if done:
+                yield flushed()
+                done = []
+        if now:
+            done.append(ended())
+            yield flushed()
+
+    return page_rows(media.select("doc_id", "n_bytes", "media")).mapInArrow(run, DIGESTS)

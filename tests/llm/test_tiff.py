@@ -70,3 +70,17 @@ def test_operator(spark):
     bad = spark.createDataFrame([(1, bytearray(b"nothing")), (2, None)], "doc_id long, media binary")
     assert [(r.doc_id, r.page, r.error) for r in T.page_rows(bad).collect()] == [(1, 0, "not a TIFF file")]
     assert T.media_digests(T.store_texts(df.limit(0))).collect() == []
+
+
+def test_every_layout_is_on_the_path_of_the_texts(spark):
+    rows = [(i, f"text {i} " * (i % 40)) for i in range(120)] + [(200, "w x " * 120_000), (201, "w y " * 120_000), (202, "w z " * 120_000), (203, "w u " * 120_000)]
+    media = T.store_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    pages = T.page_rows(media).select("doc_id", "n_bytes", "page", "compression", "media_bytes").collect()
+    assert {r.compression for r in pages} == {T.CODES[x["compression"]] for x in T.LAYOUTS} == {5, 8, 32773}
+    assert max(r.page for r in pages) == 2 and all(r.media_bytes > 0 for r in pages)
+    for r in T.media_digests(media).collect():
+        text = dict(rows)[r.doc_id].encode()
+        assert r.payload_sha256 == hashlib.sha256(T.payload_of(text)).hexdigest() and r.n_bytes == len(text)
+    broken = media.limit(1).selectExpr("doc_id", "n_bytes", "substring(media, 1, 20) AS media")
+    with pytest.raises(Exception, match="ValueError"):
+        T.media_digests(broken).collect()
