@@ -127,13 +127,17 @@ class Corpus:
         changes = compare.state_diff(self.documents, newer.documents, "path", "content_hash")
         states = [rules.validity(c.documents, c.findings) for c in (self, newer)]
         moved = compare.transitions(*states, "path", "state")
-        texts = [c.documents.select("path", F.explode("requirements").alias("r")).select(F.concat_ws("#", "path", "r.id").alias("key"), F.col("r.text").alias("text"), F.col("r.line").alias("at")) for c in (self, newer)]
-        pairs = compare.requirement_diff(*texts, ["key"], "text", "at")
-        intents = compare.intent(pairs.where("change <> 'added'").select("key", "old", "new"))
+        texts = [c.documents.select("path", F.explode("requirements").alias("r")).select("path", "r.id", F.col("r.text").alias("text"), F.col("r.line").alias("at")) for c in (self, newer)]
+        pairs = compare.requirement_diff(*texts, ["path", "id"], "text", "at")
+        # a requirement that came to a document that was there says nothing by itself
+        added = changes.where("change = 'added'").select("path", "change")
+        told = pairs.where("change <> 'added'").unionByName(pairs.where("change = 'added'").join(added, ["path", "change"], "left_semi").select(*pairs.columns))
+        intents = compare.intent(told.select(F.concat_ws("#", "path", "id").alias("key"), "old", "new"))
         return {
             "changes": compare.change_order(changes, "path"), "transitions": moved, "requirements": pairs, "intent": intents,
             "issues": compare.issue_difference(*(compare.issue_key(c.relationships) for c in (self, newer))), "types": compare.type_deltas(self.documents, newer.documents),
-            "lists": compare.lists_removed(self.documents, newer.documents), "impact": compare.relationship_impact(changes, self.edges),
+            "sections": compare.sections_removed(self.documents, newer.documents),
+            "unlinked": compare.unlinked_scope(added.join(newer.documents.select("path", "type"), "path"), newer.edges), "impact": compare.relationship_impact(changes, self.edges),
             "recommendations": compare.watch(changes, moved, intents),
         }
 

@@ -56,10 +56,10 @@ EDGES = [
 ]
 TICKETS = {
     "jira": r"^[A-Z][A-Z0-9]+-\d+$",
-    "github": r"^(?:[\w.-]+/[\w.-]+)?#\d+$",
+    "github": r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#\d+$",
     "linear": r"^[A-Z][A-Z0-9]*-\d+$",
-    "azure-devops": r"^(?:AB)?#\d+$",
-    "servicenow": r"^[A-Z]{2,}\d{7,}$",
+    "azure-devops": r"^(?:AB#)?\d+$",
+    "servicenow": r"^[A-Z]{2,}\d{5,}$",
 }
 URL = r"^https?://\S+$"
 NAMES = [t.name for t in TYPES]

@@ -66,33 +66,40 @@ def type_deltas(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def intent(pairs: DataFrame) -> DataFrame:
-    """``(key, code)`` of changed texts ``pairs(key, old, new)``: what a change weakens.
+    """``(key, code)`` of requirements' texts ``pairs(key, old, new)``: what a change weakens.
 
-    specificity_regression: digits went. ambiguity_introduced, hedges or vague words came. constraint_weakened: a
-    mandatory word went while a hedge came. constraint_removed: a mandatory text is gone. A null side is absent.
+    specificity_regression: digits went. ambiguity_introduced: ambiguous words came, also with a new document (a null
+    old text). constraint_weakened: no mandatory word is left, and a hedge is there. constraint_removed: a mandatory text is gone.
     """
     old, new = F.coalesce("old", F.lit("")), F.coalesce("new", F.lit(""))
+    changed = F.col("old").isNotNull() & F.col("new").isNotNull()
     has = lambda text, words: F.size(rules.words_in(text, words)) > 0
-    more = lambda words: F.size(F.array_except(rules.words_in(new, words), rules.words_in(old, words))) > 0
+    more = F.size(F.array_except(rules.words_in(new, rules.AMBIGUOUS), rules.words_in(old, rules.AMBIGUOUS))) > 0
     codes = F.array_compact(F.array(
-        F.when(F.col("new").isNotNull() & old.rlike("[0-9]") & ~new.rlike("[0-9]"), F.lit("specificity_regression")),
-        F.when(F.col("new").isNotNull() & F.col("old").isNotNull() & more(rules.AMBIGUOUS), F.lit("ambiguity_introduced")),
-        F.when(F.col("new").isNotNull() & has(old, rules.MANDATORY) & ~has(new, rules.MANDATORY) & more(rules.HEDGES), F.lit("constraint_weakened")),
+        F.when(changed & old.rlike("[0-9]") & ~new.rlike("[0-9]"), F.lit("specificity_regression")),
+        F.when(F.col("new").isNotNull() & more, F.lit("ambiguity_introduced")),
+        F.when(changed & has(old, rules.MANDATORY) & ~has(new, rules.MANDATORY) & has(new, rules.HEDGES), F.lit("constraint_weakened")),
         F.when(F.col("new").isNull() & has(old, rules.MANDATORY), F.lit("constraint_removed")),
     ))
     return pairs.select("key", F.explode(codes).alias("code"))
 
 
-def lists_removed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(path, code)`` of documents that lost requirements, success metrics or risks of theirs."""
-    a = old.select("path", *(F.col(c).alias(f"a_{c}") for c in ("requirements", "success_metrics")))
-    b = new.select("path", *(F.col(c).alias(f"b_{c}") for c in ("requirements", "success_metrics")))
-    ids = lambda c: F.transform(c, lambda r: r["id"])
-    codes = F.array_compact(F.array(
-        F.when(F.size(F.array_except(ids("a_requirements"), ids("b_requirements"))) > 0, F.lit("acceptance_criteria_removed")),
-        F.when(F.size(F.array_except("a_success_metrics", "b_success_metrics")) > 0, F.lit("success_measures_removed")),
-    ))
-    return a.join(b, "path").select("path", F.explode(codes).alias("code"))
+#: Fixed: sections whose loss is told, by the code that tells it.
+LOST = {"acceptance_criteria_removed": ["acceptance criteria"], "success_measures_removed": ["success measures", "success metrics"]}
+
+
+def sections_removed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``(path, code)`` of documents in both states whose acceptance criteria or success measures are no longer filled."""
+    filled = lambda c, names: F.exists(c, lambda s: s["name"].isin(*names) & (F.trim(s["body"]) != ""))
+    both = old.select("path", F.col("sections").alias("a")).join(new.select("path", F.col("sections").alias("b")), "path")
+    codes = F.array_compact(F.array(*(F.when(filled("a", names) & ~filled("b", names), F.lit(code)) for code, names in LOST.items())))
+    return both.select("path", F.explode(codes).alias("code"))
+
+
+def unlinked_scope(added: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(path, code)`` of added documents ``(path, type)`` of a known type that declare no reference and that none resolves to."""
+    linked = edges.select(F.explode(F.array("source_path", "resolved_path")).alias("path")).where("path is not null").distinct()
+    return added.where("type <> 'unknown'").join(linked, "path", "left_anti").select("path", F.lit("unlinked_scope").alias("code"))
 
 
 def relationship_impact(changes: DataFrame, edges: DataFrame) -> DataFrame:

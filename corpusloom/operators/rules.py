@@ -12,19 +12,21 @@ from corpusloom.operators.parse import ISSUE, section
 
 # Fixed word lists and patterns of the rules.
 VAGUE = ["support", "handle", "allow", "enable"]
-NORMATIVE = ["must", "must not", "required", "shall", "shall not", "should", "should not", "recommended", "not recommended", "may", "optional"]
-AMBIGUOUS = ["appropriate", "adequate", "as needed", "easy", "efficient", "etc", "fast", "flexible", "quick", "reasonable", "robust", "simple", "sufficient", "user-friendly"]
-HEDGES = ["may", "might", "could", "possibly", "perhaps", "typically", "usually", "generally", "where possible", "if possible", "as appropriate"]
-MANDATORY = ["must", "shall", "required", "always", "never"]
-HORIZON = r"^(?i)(?:now|next|later|Q[1-4] \d{4})$"
-EARS = r"(?i)^(?:the|when|while|where|if)\b"
+NORMATIVE = ["shall", "must", "should"]
+AMBIGUOUS = ["easy", "fast", "flexible", "intuitive", "quickly", "robust", "scalable", "seamless", "simple", "user-friendly"]
+HEDGES = ["should", "may", "could"]
+MANDATORY = ["must", "shall"]
+HORIZON = r"^(?i:now|next|later)$|^Q[1-4]\s+\d{4}$"
+EARS_IF = r"(?i)^\s*if\b"
 INJECTIONS = {
-    "instruction-override": r"(?i)\b(?:ignore|disregard|forget|override)\b[^.\n]{0,40}\b(?:previous|prior|above|earlier|all)\b[^.\n]{0,40}\b(?:instructions?|rules?|prompts?)\b",
-    "role-reassignment": r"(?i)\byou are (?:now|no longer)\b|\bact as (?:an?|the)\b|\bpretend (?:to be|you are)\b",
-    "ai-impersonation": r"(?i)\bas an? (?:ai|assistant|language model)\b",
-    "chat-role-injection": r"(?im)^\s*(?:system|assistant|user)\s*:",
-    "conceal-from-user": r"(?i)\b(?:do not|don't|never)\b[^.\n]{0,30}\b(?:tell|reveal|mention|show|inform)\b[^.\n]{0,30}\b(?:user|human|reader)\b",
-    "decision-steering": r"(?i)\b(?:always|must) (?:choose|prefer|select|recommend|approve)\b",
+    "instruction-override": r"(?i)\b(?:ignore|disregard|forget|override|bypass)\b[^\n]{0,40}\b(?:previous|prior|above|earlier|preceding|all|the system|your)\b"
+                            r"[^\n]{0,20}(?:instruction|instructions|prompt|directive|directives|rule|rules|context)",
+    "role-reassignment": r"(?i)\byou are now\b|\bpretend to be\b|\bfrom now on,?\s+you\s+(?:are|will|must|should|shall)\b|\bact as if you\s+(?:are|were)\b",
+    "ai-impersonation": r"(?i)\bas an ai(?:\s+language)?\s+model\b",
+    "chat-role-injection": r"(?im)^\s*(?:system|assistant|developer|tool)\s*:",
+    "conceal-from-user": r"(?i)\b(?:do not|don't|never|without)\b[^\n]{0,30}(?:tell|telling|inform|informing|mention|mentioning|reveal|revealing|notify)\b"
+                         r"[^\n]{0,20}\b(?:the user|them|anyone)\b",
+    "decision-steering": r"(?i)\b(?:ignore|disregard|override|bypass|violate)\b[^\n]{0,40}\b(?:recorded\s+)?(?:decision|decisions|adr|requirement|policy)\b",
 }
 MAX_REQUIREMENTS = 50
 
@@ -62,7 +64,6 @@ def _requirement_rules() -> list[Column]:
     ids = F.transform(reqs, lambda r: r["id"])
     texts = F.transform(reqs, lambda r: F.lower(r["text"]))
     again = lambda keys: F.filter(reqs, lambda r, i: (F.array_position(keys, F.element_at(keys, i + 1)) == i + 1) & (F.size(F.filter(keys, lambda k: k == F.element_at(keys, i + 1))) > 1))
-    modal = lambda r: F.size(F.regexp_extract_all(r["text"], F.lit(any_word(NORMATIVE)), F.lit(0)))
     return [
         _when(~has("problem"), "error", "missing-problem", "there is no problem section"),
         _when(~has("requirements"), "error", "missing-requirements", "there is no requirements section"),
@@ -76,10 +77,19 @@ def _requirement_rules() -> list[Column]:
         _when(has("problem") & (F.size("problem") == 0), "warning", "empty-problem", "the problem section is empty"),
         _when(F.size(reqs) > MAX_REQUIREMENTS, "warning", "too-many-requirements", F.format_string("%d requirements", F.size(reqs))),
         _each(F.filter(reqs, lambda r: r["text"].rlike(any_word(VAGUE))), "warning", "ambiguous-verb", lambda r: r["id"]),
-        _each(F.filter(reqs, lambda r: modal(r) == 0), "error", "requirement-normative-keyword", lambda r: r["id"]),
-        _each(F.filter(reqs, lambda r: modal(r) > 1), "warning", "requirement-not-singular", lambda r: r["id"]),
-        _each(F.filter(reqs, lambda r: ~r["text"].rlike(EARS)), "warning", "requirement-non-ears", lambda r: r["id"]),
-        _each(F.filter(reqs, lambda r: r["text"].rlike(r"(?i)^if\b") & ~r["text"].rlike(r"(?i)\bthen\b")), "warning", "requirement-ears-clause", lambda r: r["id"]),
+    ]
+
+
+def _requirement_standards() -> list[Column]:
+    """How a requirement is worded: capital keywords, one of them, and a response to a condition."""
+    reqs = F.col("requirements")
+    modal = lambda r: F.regexp_extract_all(r["text"], F.lit(any_word(NORMATIVE)), F.lit(0))
+    unanswered = lambda r: r["text"].rlike(EARS_IF) & ~r["text"].rlike(any_word(["then"]))
+    return [
+        _each(F.filter(reqs, lambda r: F.exists(modal(r), lambda k: k != F.upper(k))), "error", "requirement-normative-keyword", lambda r: r["id"]),
+        _each(F.filter(reqs, lambda r: F.size(modal(r)) > 1), "warning", "requirement-not-singular", lambda r: r["id"]),
+        _each(F.filter(reqs, lambda r: F.size(modal(r)) == 0), "warning", "requirement-non-ears", lambda r: r["id"]),
+        _each(F.filter(reqs, lambda r: (F.size(modal(r)) > 0) & unanswered(r)), "warning", "requirement-ears-clause", lambda r: r["id"]),
     ]
 
 
@@ -99,6 +109,8 @@ def _type_rules(name: str) -> list[Column]:
         out.append(_when(horizon.isNotNull() & ~horizon.rlike(HORIZON), "error", "invalid-roadmap-horizon", horizon))
         linked = F.exists("sections", lambda s: s["name"].isin("related requirements", "related decisions") & (F.trim(s["body"]) != ""))
         out.append(_when(~linked, "warning", "roadmap-no-advancement-link", "no requirement or decision is linked"))
+    if name == "requirement":
+        out += _requirement_standards()
     return out
 
 

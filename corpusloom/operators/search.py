@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import casefold, query_terms, search_tokens, term_frequency, term_hits
-from corpusloom.sources.staging import staged
+from corpusloom.sources.staging import preceding, staged
 
 # Fixed: weights in the order in which a score is summed, and the constants of the formulas.
 BOOSTS = {"id": 4.0, "title": 3.0, "path": 2.0, "heading": 1.5, "body": 1.0, "tags": 2.5}
@@ -150,14 +150,18 @@ def search(
 def fuse(scored: DataFrame) -> DataFrame:
     """Competition ranks of ``bm25`` and ``inbound``, and their reciprocal-rank fusion.
 
-    A rank is one plus the number of rows with a greater value: a window over the distinct values, joined
-    back by the value, so that no task holds all matches, only their distinct scores.
+    A rank is one plus the number of rows with a greater value: distinct values are counted, ordered by ranges, and
+    joined back, so that no task holds all matches or all scores.
     """
+    ranks = ["lexical_rank", "graph_rank"]
+    values = scored.select(F.explode(F.array(*(
+        F.struct(F.lit(rank).alias("kind"), F.col(c).cast("double").alias("value")) for rank, c in zip(ranks, ("bm25", "inbound"))
+    ))).alias("v")).groupBy("v.kind", "v.value").agg(F.count("*").alias("k"))
+    ordered = preceding(values, "before", "k", [F.desc("value")], "kind")
     ranked = scored
-    for value, rank in (("bm25", "lexical_rank"), ("inbound", "graph_rank")):
-        counts = scored.groupBy(value).agg(F.count("*").alias("k"))
-        before = F.coalesce(F.sum("k").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = ranked.join(counts.select(value, (before + 1).alias(rank)), value)
+    for rank, c in zip(ranks, ("bm25", "inbound")):
+        one = ordered.where(F.col("kind") == rank).select(F.col("value").alias("_value"), (F.col("before") + 1).alias(rank))
+        ranked = ranked.join(one, F.col(c).cast("double") == F.col("_value")).drop("_value")
     fused = 1.0 / (FUSION + F.col("lexical_rank")) + GRAPH_WEIGHT / (FUSION + F.col("graph_rank"))
     return ranked.withColumn("fused", fused)
 

@@ -165,12 +165,17 @@ def test_comparison(documents, corpus, spark):
     diff = compare.state_diff(documents, after, "path", "content_hash")
     assert {(r.path, r.change) for r in diff.collect()} == {("req/req-1.md", "modified"), ("plan.md", "removed")}
     assert compare.state_diff(documents, documents, "path", "content_hash").collect() == []
-    assert {r.code for r in compare.lists_removed(documents, after).collect()} == {"acceptance_criteria_removed", "success_measures_removed"}
+    assert [(r.path, r.code) for r in compare.sections_removed(documents, after).collect()] == [("req/req-1.md", "success_measures_removed")]
+    accepted = documents.where("path like 'req%'").withColumn("sections", F.expr("concat(sections, array(named_struct('name', 'acceptance criteria', 'body', 'x')))"))
+    assert ("req/req-1.md", "acceptance_criteria_removed") in {(r.path, r.code) for r in compare.sections_removed(accepted, after).collect()}
+    fresh = spark.createDataFrame([("a.md", "decision"), ("b.md", "decision"), ("c.md", "unknown"), ("d.md", "prompt")], "path string, type string")
+    links = spark.createDataFrame([("a.md", None), ("z.md", "d.md")], "source_path string, resolved_path string")
+    assert [tuple(r) for r in compare.unlinked_scope(fresh, links).collect()] == [("b.md", "unlinked_scope")]
     states = [rules.validity(d, rules.validate(d)) for d in (documents, after)]
     assert compare.transitions(*states, "path", "state").collect() == []
-    pairs = spark.createDataFrame([("a", "It must take 5 s", "It might be fast"), ("b", "It must run", None), ("c", "x", "y")], "key string, old string, new string")
-    assert {(r.key, r.code) for r in compare.intent(pairs).collect()} == {("a", "specificity_regression"), ("a", "ambiguity_introduced"), ("a", "constraint_weakened"), ("b", "constraint_removed")}
-    assert compare.watch(diff, compare.transitions(*states, "path", "state"), compare.intent(pairs)).count() == 3
+    pairs = spark.createDataFrame([("a", "It must take 5 s", "It may be fast"), ("d", None, "simple"), ("e", "It must run", "It might run"), ("f", "fast", "Fast and easy"), ("b", "It must run", None), ("c", "x", "y")], "key string, old string, new string")
+    assert {(r.key, r.code) for r in compare.intent(pairs).collect()} == {("a", "specificity_regression"), ("a", "ambiguity_introduced"), ("a", "constraint_weakened"), ("b", "constraint_removed"), ("d", "ambiguity_introduced"), ("f", "ambiguity_introduced")}
+    assert compare.watch(diff, compare.transitions(*states, "path", "state"), compare.intent(pairs)).count() == 5
     one = after.where("path like 'dec/DEC-2%'").withColumn("path", F.lit("new.md"))
     assert sorted(r.path for r in compare.proposed(documents, one).collect()) == ["dec/DEC-1-old.md", "new.md", "notes/_x.md", "plan.md", "req/req-1.md"]
 
@@ -214,3 +219,32 @@ def test_successors_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(f"v{i + 1}", f"v{i}") for i in range(53)], "newer string, older string").coalesce(1)
     live = spark.createDataFrame([("v53",)], "path string").coalesce(1)
     assert ("v0", "v53") in {(r.old, r.live) for r in graph.successors(pairs, live).collect()}
+
+
+def test_requirement_standards(spark):
+    cases = {
+        "The system must act": ["requirement-normative-keyword"], "The system MUST act and SHALL log": ["requirement-not-singular"], "Handle errors": ["ambiguous-verb", "requirement-non-ears"],
+        " If idle the system SHALL stop": ["requirement-ears-clause"], "If idle then it SHALL stop": [], "If idle, stop": ["requirement-non-ears"], "Ifs SHALL be": [], "MUST support export": ["ambiguous-verb"],
+        "supports and handles SHALL": [], "Should it Must": ["requirement-normative-keyword", "requirement-not-singular"], "mustard SHALL be yellow": [],
+    }
+    for text, codes in cases.items():
+        body = f"# T\n\n## Problem\n\nx\n\n## Requirements\n\n- [REQ-001] {text}\n\n## Success metrics\n\nx\n\n## Risks\n\nx\n"
+        one = A.artifacts(parse.parse(spark.createDataFrame([("r.md", bytearray(body.encode()))], "path string, content binary")))
+        assert [r.code for r in rules.validate(one).orderBy("seq").collect()] == codes, text
+    shapes = spark.createDataFrame([("1234",), ("AB#1",), ("#12",), ("o/r#1",), ("INC00100",), ("AB1234",), ("A-1",)], "t string")
+    fits = lambda p: [r.t for r in shapes.where(F.col("t").rlike(rules.TICKETS[p])).collect()]
+    assert (fits("azure-devops"), fits("github"), fits("servicenow"), fits("linear"), fits("jira")) == (["1234", "AB#1"], ["o/r#1"], ["INC00100"], ["A-1"], [])
+
+
+def test_numbers_and_sums_over_ranges(spark):
+    from corpusloom.sources.staging import numbered, preceding, spread
+
+    df = spark.range(1000).selectExpr("id * 7919 % 1009 AS v", "id % 3 AS kind", "id % 5 AS w")
+    assert [r.n for r in numbered(df, "n", "v").orderBy("v").collect()] == list(range(1, 1001))
+    want, total = {}, {}
+    for r in sorted(df.collect(), key=lambda r: -r.v):
+        want[r.v] = total.get(r.kind, 0)
+        total[r.kind] = want[r.v] + r.w
+    got = preceding(df, "before", "w", [F.desc("v")], "kind")
+    assert {r.v: r.before for r in got.collect()} == want
+    assert numbered(df.limit(0), "n", "v").collect() == [] and spread(spark.range(9).coalesce(1)).rdd.getNumPartitions() > 1
