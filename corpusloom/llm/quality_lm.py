@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,7 @@ from corpusloom.llm.shingles import shard_bounds
 from corpusloom.llm.store import bounded_batches, materialize
 from corpusloom.llm.textscan import Scan, mix, pieces, unmix
 
-CHUNK = 1 << 20  # words that a chunk of documents holds in memory
+CHUNK = 3 << 20  # words that a chunk of documents holds in memory
 SHARD_BYTES = 32 << 20  # of text, for each shard
 ASKED_BITS = 48  # of a pair's key, in questions
 BIN = 1000  # bins of log-perplexity per bit, for quantiles
@@ -307,16 +307,14 @@ def perplexities(docs: DataFrame, model: Model, marks: str | None = None) -> Dat
 def limits(held_out: DataFrame, quantile: float, least: int) -> DataFrame:
     """``(lang, most)`` from ``held_out(lang, bits)``: the quantile of each language's documents.
 
-    Quantiles are taken over bins of 1/1000 bit, so they need one small row per bin. The
+    Quantiles are taken over bins of 1/1000 bit, so what a task holds and sends is one count per bin. The
     row whose lang is null holds the limit over all languages, for those with under ``least`` documents.
     """
-    binned = held_out.where("bits is not null").select("lang", F.ceil(F.col("bits") * BIN).alias("bin"))
-    per_lang = binned.where("lang is not null").groupBy("lang", "bin").agg(F.count("*").alias("n"))
-    overall = binned.groupBy("bin").agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bin", "n")
-    upto = Window.partitionBy("lang").orderBy("bin")
-    ranked = per_lang.unionByName(overall).withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-    found = ranked.groupBy("lang").agg(F.min(F.when(F.col("upto") >= quantile * F.col("all"), F.col("bin"))).alias("bin"), F.max("all").alias("documents"))
-    return found.where(F.col("lang").isNull() | (F.col("documents") >= least)).select("lang", (F.col("bin") / BIN).alias("most"))
+    binned = held_out.where("bits is not null").select("lang", (F.ceil(F.col("bits") * BIN) / BIN).alias("bits"))
+    found = F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY bits)").alias("most"), F.count("*").alias("documents")
+    overall = binned.agg(*found).select(F.lit(None).cast("string").alias("lang"), "most")
+    per_lang = binned.where("lang is not null").groupBy("lang").agg(*found).where(F.col("documents") >= least)
+    return per_lang.select("lang", "most").unionByName(overall)
 
 
 def quality_classifier(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, least: int = 20, folds: int = 5) -> DataFrame:

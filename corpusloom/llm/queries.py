@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import byte_bpe, mixing, ngram_join, quality_lm, quality_rules, tiff, token_records, token_tree, toxicity, url_filters
+from corpusloom.sources.staging import spread
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -19,7 +20,8 @@ URL_RULES = [
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
