@@ -72,12 +72,19 @@ def pair_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return before << _U(32) | word, scan.doc
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]]:
-    """(codes, rows that they are of, rows that end here) of bounded runs of words.
+def chunks(batches: Iterator[pa.RecordBatch], columns: list[str] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[pa.RecordBatch]]]:
+    """(codes, rows, words of each of these rows, ``columns`` of the rows that end here) of bounded runs of words.
 
     Rows are numbered over the partition. A long text is cut between words, so it may lie in several chunks.
     """
-    held, total, ended, at, before = [], 0, [], 0, _U(0)
+    codes, rows, sizes, total, ended, at, before = [], [], [], 0, [], 0, _U(0)
+
+    def joined() -> tuple:
+        out = np.concatenate(codes), np.concatenate(rows), np.concatenate(sizes), ended.copy()
+        for held in (codes, rows, sizes, ended):
+            held.clear()
+        return out
+
     for batch in batches:
         for part, texts, last, opened in pieces(batch, "text"):
             code, doc = pair_codes(texts)
@@ -85,16 +92,18 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             if len(code):
                 code[0] |= before << _U(32)
                 before = code[-1] & _WORD
-            if held and total + len(code) > CHUNK:
-                yield *(np.concatenate([h[k] for h in held]) for k in range(2)), ended
-                held, total, ended = [], 0, []
-            held.append((code, doc + at))
+            if codes and total + len(code) > CHUNK:
+                yield joined()
+                total = 0
+            codes.append(code)
+            rows.append(np.arange(at, at + len(texts)))
+            sizes.append(np.bincount(doc, minlength=len(texts)))
             total += len(code)
             if last:
-                ended.append(part)
+                ended += [part.select(columns)] if columns else []
                 at += len(part)
-    if held:
-        yield *(np.concatenate([h[k] for h in held]) for k in range(2)), ended
+    if codes:
+        yield joined()
 
 
 def _split(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +186,7 @@ def train(docs: DataFrame, marks: str | None = None) -> Model:
                 yield batch if marks is None else batch.filter(pa.array(held.of(batch.column("doc_id"), at) == TRAINED))
                 at += len(batch)
 
-        for k, (code, _, _) in enumerate(chunks(chosen())):
+        for k, (code, *_) in enumerate(chunks(chosen())):
             code, n = np.unique(code, return_counts=True)
             key = mix(code)
             order = np.argsort(key)
@@ -223,7 +232,7 @@ def perplexities(docs: DataFrame, model: Model, marks: str | None = None) -> Dat
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, batches = sidecar.partition_of(batches)
-        for k, (code, _, _) in enumerate(chunks(batches)):
+        for k, (code, *_) in enumerate(chunks(batches)):
             code = np.unique(code)
             key = np.sort(mix(code)) >> _U(64 - ASKED_BITS)
             word = np.unique(np.concatenate(_split(code)))
@@ -269,21 +278,26 @@ def perplexities(docs: DataFrame, model: Model, marks: str | None = None) -> Dat
         part, batches = sidecar.partition_of(batches)
         first, rest = 0, (0.0, 0)
         replies, held = answers(part), sidecar.Marks(marks, part)
-        for code, row, ended in chunks(batches):
+        for code, row, size, ended in chunks(batches, others):
             code, at = np.unique(code, return_inverse=True)
-            order = np.argsort(mix(code))
+            at = at.astype(np.int32)
+            order = np.argsort(mix(code)).astype(np.int32)
             words = np.unique(np.concatenate(_split(code)))
             n, counts = next(replies, ([], []))
             if sum(len(x[0]) for x in n) != len(code) or sum(len(x[0]) for x in counts) != len(words):
                 raise RuntimeError("the rows of this partition differ between two scans")
-            bits = np.zeros(0)
+            bits = np.zeros(len(code))
             if len(code):
                 seen = np.empty(len(code), np.int64)
-                seen[order] = np.concatenate([x[0] for x in n]).astype(np.int64)
-                bits = bare.bits(code, seen, words, *(np.concatenate([x[k] for x in counts]).astype(np.int64) for k in range(5)))[at]
-            size = max(sum(map(len, ended)), int(row[-1]) + 1 - first if len(row) else 0)
-            sums, number = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-            sums[:size], number[:size] = np.bincount(row - first, bits, size), np.bincount(row - first, minlength=size)
+                seen[order] = np.concatenate([x[0] for x in n])
+                known = [np.concatenate([x[k] for x in counts]).astype(np.int64) for k in range(5)]
+                del n, counts, order
+                for a in range(0, len(code), 1 << 18):
+                    bits[a : a + (1 << 18)] = bare.bits(code[a : a + (1 << 18)], seen[a : a + (1 << 18)], words, *known)
+            # the rows of a chunk follow each other; the last may go on in the next one
+            cuts = np.concatenate([[0], np.cumsum(size)])
+            number = np.bincount(row - first, size, int(row[-1]) - first + 2).astype(np.int64)
+            sums = np.bincount(row - first, [bits[at[a:b]].sum() for a, b in zip(cuts, cuts[1:])], len(number))
             sums[0], number[0] = sums[0] + rest[0], number[0] + rest[1]
             k = 0
             for rows in ended:

@@ -87,10 +87,10 @@ def test_a_very_long_text_is_cut_into_parts(monkeypatch):
     text = " ".join(rng.choice(["a", "bb", "ccc", "d" * 2000]) for _ in range(200_000))
     batch = pa.RecordBatch.from_arrays([pa.array(["x y", text, "z"])], ["text"])
     code, doc = L.pair_codes(batch.column(0))
-    parts = list(L.chunks(iter([batch])))
-    assert len(parts) > 1 and max(len(c) for c, _, _ in parts) <= 60_000
-    assert (np.concatenate([c for c, _, _ in parts]) == code).all() and (np.concatenate([r for _, r, _ in parts]) == doc).all()
-    assert [len(rows) for _, _, ended in parts for rows in ended] == [1, 1, 1]
+    parts = list(L.chunks(iter([batch]), ["text"]))
+    assert len(parts) > 1 and max(len(p[0]) for p in parts) <= 60_000
+    assert (np.concatenate([p[0] for p in parts]) == code).all() and (np.concatenate([np.repeat(p[1], p[2]) for p in parts]) == doc).all()
+    assert [len(rows) for p in parts for rows in p[3]] == [1, 1, 1]
 
 
 def test_scans_that_differ_are_told(spark, tmp_path):
