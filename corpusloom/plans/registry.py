@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import graph_queries, report_queries, search_queries
+from corpusloom.plans import corpus_queries, graph_queries, report_queries, search_queries
 
-_FAMILIES = (search_queries, graph_queries, report_queries)
+_FAMILIES = (search_queries, graph_queries, report_queries, corpus_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
