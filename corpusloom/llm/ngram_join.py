@@ -302,7 +302,7 @@ def link_groups(nodes: DataFrame, groups: DataFrame, percent: int, block: int, a
     """``(src, dst)`` links that connect each group's sets as the threshold does."""
     size = groups.groupBy("component").agg(F.count("*").alias("members"))
     members = (
-        nodes.select("sig", "n", "items", "dfs")
+        nodes.select("sig", "n", "items", "dfs", "prefix")
         .join(groups.withColumnRenamed("node", "sig"), "sig").join(size, "component")
         .withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
         .withColumn("at", F.xxhash64("sig"))
@@ -331,14 +331,16 @@ def link_groups(nodes: DataFrame, groups: DataFrame, percent: int, block: int, a
         return links
     parts = apart.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     columns = ["component", "part", "block", "sig", "n", "items", "dfs", "label"]
+    # linked sets share a shingle of their prefixes: a set is asked of the blocks that hold one of its own
+    prefixes = lambda df, *of: df.where("prefix > 0").select("component", *of, F.explode(F.slice("items", F.lit(1), F.col("prefix").cast("int"))).alias("item"))
+    wanted = prefixes(apart, "sig").join(prefixes(large, "block").distinct(), ["component", "item"]).select("component", "sig", "block").distinct()
     asked = (
-        apart.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("sig", F.lit(11)), "parts").cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*columns, F.lit(True).alias("query"))
-    )
-    against = (
-        large.join(parts, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(*columns, F.lit(False).alias("query"))
+        apart.drop("block").join(parts, "component").withColumn("part", F.pmod(F.xxhash64("sig", F.lit(11)), "parts").cast("int"))
+        .join(wanted, ["component", "sig"]).select(*columns, F.lit(True).alias("query"))
     )
+    asked = materialize(asked, "asked")
+    where = asked.select("component", "part", "block").distinct()
+    against = large.join(where, ["component", "block"]).select(*columns, F.lit(False).alias("query"))
     return links.unionByName(_links(asked.unionByName(against), ["component", "part", "block"], percent))
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 512 << 10  # a slice needs about 100 times its bytes while it is scanned
+SLICE_ROWS = 1 << 14  # numbers of a slice's rows fit 16 bits, whatever the session's batches
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -64,13 +65,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces whose texts hold ``limit`` bytes at most, or one text that is longer."""
+    """The batch in pieces of ``SLICE_ROWS`` rows at most, whose texts hold ``limit`` bytes at most, or one text that is longer."""
     _lean()
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     i, n = 0, len(batch)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, side="right")))
+        j = min(i + SLICE_ROWS, max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, side="right"))))
         yield batch.slice(i, j - i)
         i = j
 

@@ -71,3 +71,13 @@ def test_empty_and_single(spark):
 def test_long_text_and_its_copy(spark):
     t = " ".join(f"w{i}" for i in range(30000))
     assert got(frame(spark, [(5, t), (3, t + " tail"), (4, "x" * 100000)])) == [(3, 29997, 3), (4, 1, 4), (5, 29996, 3)]
+
+
+def test_slices_bound_their_rows():
+    import pyarrow as pa
+
+    from corpusloom.llm import textscan
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 100_000)], ["text"])
+    sizes = [len(x) for x in textscan.slices(batch, "text")]
+    assert sum(sizes) == 100_000 and max(sizes) <= textscan.SLICE_ROWS < 65_535
