@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import excerpt, first_line, path_stem, search_tokens
 from corpusloom.operators import evaluate
-from corpusloom.operators.search import corpus_stats, field_tokens, final_order, postings, search, term_counts
-from corpusloom.plans.tables import ENTRIES_SQL, FIELDS, entries, hit, search_sql, table
+from corpusloom.operators.search import corpus_stats, final_order, indexed_counts, indexed_postings, search
+from corpusloom.plans.tables import ENTRIES_SQL, FIELDS, entries, hit, search_index, search_sql, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -24,6 +24,10 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _find(spark, sf, text, **how):
+    return search(entries(spark, sf), text, index=search_index(spark, sf), **how)
+
+
 def _scores(ranked):
     """Scores to nine places: the logarithms of two engines may differ in the last bit."""
     return ranked.select("path", F.col("tier").cast("long").alias("tier"), F.round("bm25", 9).alias("bm25"), "lexical_rank", "graph_rank", F.round("fused", 12).alias("fused"))
@@ -31,72 +35,74 @@ def _scores(ranked):
 
 @query("search_documents", search_sql(["the", "er"]))
 def search_documents(spark, sf):
-    return _scores(search(entries(spark, sf), "the er"))
+    return _scores(_find(spark, sf, "the er"))
 
 
 @query("search_duplicate_terms", search_sql(["en", "en", "de"]))
 def search_duplicate_terms(spark, sf):
-    return _scores(search(entries(spark, sf), "en En de"))
+    return _scores(_find(spark, sf, "en En de"))
 
 
 @query("search_by_type", search_sql(["src"], where="type = 'de'"))
 def search_by_type(spark, sf):
-    return _scores(search(entries(spark, sf), "src", type="de"))
+    return _scores(_find(spark, sf, "src", type="de"))
 
 
 @query("search_live_only", search_sql(["doc", "th"], live=True))
 def search_live_only(spark, sf):
-    return _scores(search(entries(spark, sf), "doc th", live_only=True))
+    return _scores(_find(spark, sf, "doc th", live_only=True))
 
 
 @query("search_by_tag", search_sql(["doc"], where="r_tags_src = 'fr src3'").replace("SELECT path, type, inbound, retired, list", "SELECT path, type, inbound, retired, r_tags AS r_tags_src, list", 1))
 def search_by_tag(spark, sf):
-    return _scores(search(entries(spark, sf), "doc", tags=["FR", "src3"]))
+    return _scores(_find(spark, sf, "doc", tags=["FR", "src3"]))
 
 
 @query("search_top_k", search_sql(["an", "on"], columns="path, lexical_rank, graph_rank, row_number() OVER (ORDER BY round(fused, 12) DESC, path) AS position")
        + " QUALIFY position <= 20")
 def search_top_k(spark, sf):
-    top = final_order(search(entries(spark, sf), "an on")).limit(20)
+    top = final_order(_find(spark, sf, "an on")).limit(20)
     return top.withColumn("position", F.row_number().over(Window.orderBy(F.round("fused", 12).desc(), "path")).cast("long")).select("path", "lexical_rank", "graph_rank", "position")
 
 
 @query("post_filtered_search", search_sql(["doc"], columns="path, lexical_rank, graph_rank") + " JOIN (SELECT 'src1/' AS p) ON starts_with(path, p)")
 def post_filtered_search(spark, sf):
     """A filter after ranking: ranks keep their gaps."""
-    return search(entries(spark, sf), "doc").where(F.col("path").startswith("src1/")).select("path", "lexical_rank", "graph_rank")
+    return _find(spark, sf, "doc").where(F.col("path").startswith("src1/")).select("path", "lexical_rank", "graph_rank")
 
 
 @query("corpus_stats", f"""WITH {ENTRIES_SQL} SELECT count(*) AS n, {', '.join(f'sum(len(t_{f}))::DOUBLE / count(*) AS mean_{f}' for f in FIELDS)},
   count(*) FILTER ({' OR '.join(hit(f, 'the') for f in FIELDS)}) AS df_0, count(*) FILTER ({' OR '.join(hit(f, 'zz') for f in FIELDS)}) AS df_1 FROM tok""")
 def stats_query(spark, sf):
-    return corpus_stats(term_counts(field_tokens(entries(spark, sf)), ["the", "zz"]), ["the", "zz"])
+    index, terms = search_index(spark, sf), ["the", "zz"]
+    return corpus_stats(indexed_counts(index, terms), terms, index["totals"])
 
 
 @query("prefix_document_frequency", f"""WITH {ENTRIES_SQL}, words AS (SELECT path, unnest(list_distinct(t_body)) AS token FROM tok)
   SELECT substr(token, 1, 2) AS prefix, count(DISTINCT path) AS documents FROM words GROUP BY 1""")
 def prefix_df(spark, sf):
-    words = field_tokens(entries(spark, sf)).select("path", F.explode(F.array_distinct(F.transform(F.array_distinct("t_body"), lambda t: F.substring(t, 1, 2)))).alias("prefix"))
-    return words.groupBy("prefix").agg(F.count("*").alias("documents"))
+    words = search_index(spark, sf)["postings"].where("field = 'body'").select("path", F.substring("token", 1, 2).alias("prefix"))
+    return words.distinct().groupBy("prefix").agg(F.count("*").alias("documents"))
 
 
 @query("posting_intersection", f"""WITH {ENTRIES_SQL} SELECT path FROM tok
   WHERE {' AND '.join('(' + ' OR '.join(hit(f, t) for f in FIELDS) + ')' for t in ('ing', 'er', 'src1'))}""")
 def posting_intersection(spark, sf):
-    return postings(field_tokens(entries(spark, sf)), ["ing", "er", "src1"])
+    return indexed_postings(search_index(spark, sf), ["ing", "er", "src1"])
 
 
 @query("first_hit_snippets", f"""WITH {ENTRIES_SQL.replace('SELECT path, type, inbound, retired, list', 'SELECT path, type, inbound, retired, r_lines, list', 1).replace("lang || ' ' || source AS r_tags FROM entries", "lang || ' ' || source AS r_tags, lines AS r_lines FROM entries")}
   SELECT path, list_filter(r_lines, lambda l: len(list_filter(list_filter(string_split(lower(regexp_replace(regexp_replace(l, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[^0-9A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> ''), lambda x: starts_with(x, 'ou'))) > 0)[1] AS snippet
   FROM tok WHERE {hit('body', 'ou')} AND NOT ({' OR '.join(hit(f, 'ou') for f in ('id', 'title', 'tags', 'path', 'heading'))})""")
 def first_hit_snippets(spark, sf):
-    return search(entries(spark, sf), "ou", snippets=True).where("field = 'body'").select("path", "snippet")
+    return _find(spark, sf, "ou", snippets=True).where("field = 'body'").select("path", "snippet")
 
 
 @query("search_token_lengths", f"WITH {ENTRIES_SQL} SELECT path, len(t_body) AS n_tokens, len(list_distinct(t_body)) AS n_distinct FROM tok")
 def search_token_lengths(spark, sf):
-    t = field_tokens(entries(spark, sf))
-    return t.select("path", F.size("t_body").cast("long").alias("n_tokens"), F.size(F.array_distinct("t_body")).cast("long").alias("n_distinct"))
+    index = search_index(spark, sf)
+    distinct = index["postings"].where("field = 'body'").groupBy("path").agg(F.count("*").alias("n"))
+    return index["documents"].join(distinct, "path", "left").select("path", F.col("len_body").cast("long").alias("n_tokens"), F.coalesce("n", F.lit(0).cast("long")).alias("n_distinct"))
 
 
 @query("excerpts", "SELECT doc_id, substr(text, 1, 1600) AS excerpt, length(substr(text, 1, 1600)) AS n FROM documents")

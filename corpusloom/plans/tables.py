@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.sources.staging import spread
+from corpusloom.operators.search import build_index
+from corpusloom.sources import index as store
+from corpusloom.sources.staging import shared_root, spread
 
 
 TEXTS = ("documents", "pages", "conversations")
@@ -30,6 +32,17 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The index of ``entries``: the published one if it was made of these files, else a new one, published for later queries."""
+    made_of = store.files_hash(spark, [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"])
+    root = f"{shared_root(spark)}/search-{made_of}"
+    found = store.current(spark, root, made_of)
+    if found is None:
+        store.publish(root, build_index(entries(spark, sf_dir)), made_of)
+        found = store.current(spark, root, made_of)
+    return found
+
+
 ENTRIES_SQL = r"""
 lined AS (
   SELECT d.doc_id, d.source, d.lang, 'DOC-' || d.doc_id AS id,

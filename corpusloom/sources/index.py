@@ -37,6 +37,20 @@ def current(spark: SparkSession, root: str, fingerprint: str = "") -> dict[str,
     return {t: spark.read.parquet(f"{root}/versions/{last.version}/{t}") for t in last.tables}
 
 
+def files_hash(spark: SparkSession, paths: list[str]) -> str:
+    """One hash over the names, lengths and times of change of all files under ``paths``."""
+    import hashlib
+
+    conf, seen = spark._jsc.hadoopConfiguration(), []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(conf).listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(json.dumps(sorted(seen)).encode()).hexdigest()
+
+
 def corpus_hash(manifest: DataFrame) -> str:
     """One hash over the paths and content hashes of a corpus, in path order: hashes of ranges of paths, hashed."""
     marked = manifest.select("path", "content_hash", F.conv(F.substring(F.sha2("path", 256), 1, 2), 16, 10).cast("int").alias("part"))
