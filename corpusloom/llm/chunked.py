@@ -50,7 +50,7 @@ def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class ChunkCache:
-    """``encode(chunks)`` gives a list of ids for each chunk; ``limit`` chunks are kept at most.
+    """``encode(chunks)`` gives a list of ids for each chunk; ``limit`` chunks, and 16 ids for each, are kept at most.
 
     ``row``, where given, encodes many chunks at once; it gets chunks that start with a
     space, hold no other and do not end in white space, and returns an array of ids for each.
@@ -80,17 +80,17 @@ class ChunkCache:
             made = [np.array(x, np.uint32) for x in self.encode([t.as_py() or "" for t in texts])]
             return np.concatenate([np.zeros(0, np.uint32), *made]), np.cumsum([0, *map(len, made)])
         span = self._spans(unique, h[1][at], data, starts[at], ends[at])[inverse]
-        begin, size = span >> 24, span & 0xFFFFFF
+        begin, size = span >> 31, span & 0x7FFFFFFF
         done = np.cumsum(size)
         total = int(done[-1]) if len(done) else 0
         out = self.flat[np.arange(total) + np.repeat(begin - (done - size), size)]
         bounds = np.concatenate([[0], done])[np.searchsorted(starts, off)]
-        if len(self.first) > self.limit:
+        if len(self.first) > self.limit or self.used > 16 * self.limit:
             self.clear()
         return out, bounds
 
     def _spans(self, h: np.ndarray, h2: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Where the ids of each chunk (by ascending hash) lie in ``flat``: place * 2**24 + length."""
+        """Where the ids of each chunk (by ascending hash) lie in ``flat``: place * 2**31 + length: a text has less than 2**31 bytes, so no chunk has more ids."""
         place = np.searchsorted(self.first, h)
         span = np.full(len(h), -1, np.int64)
         if len(self.first):
@@ -103,13 +103,11 @@ class ChunkCache:
             chunks = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())]
             made = self._encode(chunks)
             size = np.fromiter(map(len, made), np.int64, len(made))
-            if size.max() >= 1 << 24:
-                raise ValueError("a chunk has too many ids")
             total = int(size.sum())
             if self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used // 2), np.uint32)])
             self.flat[self.used : self.used + total] = np.concatenate(made)
-            span[new] = ((self.used + np.cumsum(size) - size) << 24) + size
+            span[new] = ((self.used + np.cumsum(size) - size) << 31) + size
             self.used += total
             self.first = np.insert(self.first, place[new], h[new])
             self.second = np.insert(self.second, place[new], h2[new])

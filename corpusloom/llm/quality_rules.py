@@ -9,15 +9,18 @@ gives the covered words, the greatest prefix the longest repeat.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.store import bounded_batches
-from corpusloom.llm.textscan import Scan, repeated, slices, windows
+from corpusloom.llm.textscan import SLICE_BYTES, Scan, buffer_of, pieces, repeated, slices, windows
 
 #: Fixed by the contract: the symbols counted, and the base limits.
 SYMBOLS = "#*$%&|<>"
@@ -27,6 +30,8 @@ SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 )
+#: A line with a word, whole.
+_LINE = rb"[ \t\v\f\r]*[^ \t-\r][^\n]*"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[np.frombuffer(SYMBOLS.encode(), np.uint8)] = True
 
@@ -46,7 +51,7 @@ def suffix_repeats(word: np.ndarray, doc: np.ndarray, min_repeat: int) -> tuple[
     new = np.ones(n, bool)
     if n:
         new[1:] = (word[order][1:] != word[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32 if n < 2**31 else np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))
     rank[n] = 0
     end = np.searchsorted(doc, doc, side="right")
@@ -102,10 +107,44 @@ def _shared(rank: np.ndarray) -> np.ndarray:
     return count[inverse] > 1
 
 
-def measure(texts: pa.Array, min_repeat: int) -> dict[str, np.ndarray]:
+def _repeats(word: np.ndarray, doc: np.ndarray, docs: int, min_repeat: int) -> dict[str, np.ndarray]:
+    """The counts of ``SCHEMA`` that depend on which words are equal."""
+    window, first = windows(word, doc, 3)
+    at = first[repeated(doc[first], window)]
+    hit = np.zeros(len(word) + 2, bool)
+    for k in range(3):
+        hit[at + k] = True
+    del window, first, at
+    covered, longest = suffix_repeats(word, doc, min_repeat)
+    most = np.zeros(docs, np.int64)
+    np.maximum.at(most, doc, longest)
+    return {
+        "n_repeat_words": np.bincount(doc[hit[: len(word)]], minlength=docs),
+        "covered_words": np.bincount(doc[covered], minlength=docs),
+        "longest_repeat": most,
+    }
+
+
+def _long(texts: pa.Array, min_repeat: int, limit: int) -> dict[str, np.ndarray]:
+    """``measure`` of one text longer than ``limit`` bytes: scanned in parts, of which the hashes of words and lines stay."""
+    words, chars, symbols = [], 0, 0
+    for _, part, _, _ in pieces(pa.RecordBatch.from_arrays([texts], ["text"]), "text", limit):
+        scan = Scan(part)
+        words.append(scan.words())
+        chars += int((((scan.data & 0xC0) != 0x80) & ~scan.space).sum())
+        symbols += int(_IS_SYMBOL[scan.data].sum())
+    lines = array("Q", (xxhash.xxh3_64_intdigest(x[0]) for x in re.finditer(_LINE, buffer_of(texts)[0].tobytes())))
+    word = np.concatenate(words)
+    repeats = _repeats(word, np.zeros(len(word), np.int64), 1, min_repeat)
+    counts = {"n_words": len(word), "word_chars": chars, "n_symbols": symbols, "n_dup_lines": len(lines) - len(np.unique(np.frombuffer(lines, np.uint64)))}
+    return {k: np.array([v], np.int64) for k, v in counts.items()} | repeats
+
+
+def measure(texts: pa.Array, min_repeat: int, limit: int = SLICE_BYTES) -> dict[str, np.ndarray]:
     """The counts of ``SCHEMA`` for each text of a slice; null counts as empty."""
+    if len(texts) == 1 and texts.nbytes > limit:
+        return _long(texts, min_repeat, limit)
     scan = Scan(texts)
-    n_words = scan.per_doc(scan.doc)
     points = np.concatenate([[0], np.cumsum((scan.data & 0xC0) != 0x80)])
     marks = np.concatenate([[0], np.cumsum(_IS_SYMBOL[scan.data])])
     starts, ends, line_doc = scan.lines()
@@ -116,24 +155,12 @@ def measure(texts: pa.Array, min_repeat: int) -> dict[str, np.ndarray]:
     order = np.lexsort((h, line_doc))
     again = np.zeros(len(h), bool)
     again[1:] = (h[order][1:] == h[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])
-    word = scan.words()
-    window, first = windows(word, scan.doc, 3)
-    at = first[repeated(scan.doc[first], window)]
-    hit = np.zeros(len(word) + 2, bool)
-    for k in range(3):
-        hit[at + k] = True
-    covered, longest = suffix_repeats(word, scan.doc, min_repeat)
-    most = np.zeros(scan.docs, np.int64)
-    np.maximum.at(most, scan.doc, longest)
     return {
-        "n_words": n_words,
+        "n_words": scan.per_doc(scan.doc),
         "word_chars": scan.per_doc(scan.doc, points[scan.ends] - points[scan.starts]),
         "n_symbols": marks[scan.off[1:]] - marks[scan.off[:-1]],
         "n_dup_lines": scan.per_doc(line_doc[order][again]),
-        "n_repeat_words": scan.per_doc(scan.doc[hit[: len(word)]]),
-        "covered_words": scan.per_doc(scan.doc[covered]),
-        "longest_repeat": most,
-    }
+    } | _repeats(scan.words(), scan.doc, scan.docs, min_repeat)
 
 
 def judge(texts: pa.Array, min_repeat: int = 8, max_covered: float = 0.5, max_longest: int = 100) -> dict[str, np.ndarray]:
@@ -152,7 +179,8 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
     its words in repeated 3-word windows), at most ``max_covered`` of its words lie in repeats of
     ``min_repeat`` words or more, and none of them is longer than ``max_longest`` words. Null and
     empty texts have no words and fail. One row out for each row in, repeated or null ids
-    included; other columns are ignored. Whole texts are measured; a slice holds a few MB, or one long text.
+    included; other columns are ignored. Whole texts are measured; a slice holds a few MB, or one
+    long text, which is scanned in parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

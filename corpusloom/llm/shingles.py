@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
-from corpusloom.llm.textscan import Scan, mix, windows
+from corpusloom.llm.textscan import mix, windows, word_hashes
 
 _U = np.uint64
 SHARED = 0xFFFF  # stands where a document's number would: several documents of the chunk hold the hash
@@ -25,23 +25,22 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np
     Words are lower-cased in A-Z. A text with fewer words has its whole sequence as the one
     shingle; one without words has none.
     """
-    scan = Scan(texts)
-    word = scan.words(lower=True)
-    count = scan.per_doc(scan.doc)
-    h, first = windows(word, scan.doc, size)
-    hashes, docs = [mix(h + _U(size))], [scan.doc[first]]
+    word, doc = word_hashes(texts, lower=True)
+    count = np.bincount(doc, minlength=len(texts))
+    h, first = windows(word, doc, size)
+    hashes, docs = [mix(h + _U(size))], [doc[first]]
     for short in range(1, size):
-        at = np.flatnonzero(count[scan.doc] == short)
-        h, first = windows(word[at], scan.doc[at], short)
+        at = np.flatnonzero(count[doc] == short)
+        h, first = windows(word[at], doc[at], short)
         hashes.append(mix(h + _U(short)))
-        docs.append(scan.doc[at][first])
+        docs.append(doc[at][first])
     h, d = np.concatenate(hashes), np.concatenate(docs)
     order = np.lexsort((h, d))
     h, d = h[order], d[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     h, d = h[keep], d[keep]
-    return h, d, np.bincount(d, minlength=scan.docs)
+    return h, d, np.bincount(d, minlength=len(texts))
 
 
 def signatures(h: np.ndarray, d: np.ndarray, docs: int) -> np.ndarray:

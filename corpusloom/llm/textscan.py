@@ -158,6 +158,16 @@ class Scan:
         return starts[order], ends[end_order], doc[order]
 
 
+def word_hashes(texts: pa.Array, lower: bool = False, limit: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the text) of each word; one text longer than ``limit`` bytes is scanned in parts, cut between words."""
+    if len(texts) == 1 and texts.nbytes > limit:
+        rows = pa.RecordBatch.from_arrays([texts], ["text"])
+        word = np.concatenate([Scan(part).words(lower) for _, part, _, _ in pieces(rows, "text", limit)])
+        return word, np.zeros(len(word), np.int64)
+    scan = Scan(texts)
+    return scan.words(lower), scan.doc
+
+
 def windows(h: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``size``-word windows within a document, and the index of each window's first word."""
     n = len(h) - size + 1

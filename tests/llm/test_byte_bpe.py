@@ -81,3 +81,16 @@ def test_operator(spark, library):
     back = B.decode_documents(encoded, PATH, P.PATTERN).collect()
     assert sorted(str(r.data.decode()) for r in back) == sorted(t or "" for _, t, _ in rows)
     assert B.encode_digests(df.limit(0), PATH, P.PATTERN).collect() == []
+
+
+def test_a_chunk_of_very_many_ids():
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusloom.llm.chunked import ChunkCache
+
+    n = (1 << 24) + 5
+    cache = ChunkCache(lambda chunks: [np.arange(len(c), dtype=np.uint32) for c in chunks])
+    for _ in range(2):
+        ids, off = cache.ids(pa.array(["a b", "x" * n, None]))
+        assert off.tolist() == [0, 3, 3 + n, 3 + n] and ids[3:].tolist()[-1] == n - 1

@@ -81,3 +81,14 @@ def test_slices_bound_their_rows():
     batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 100_000)], ["text"])
     sizes = [len(x) for x in textscan.slices(batch, "text")]
     assert sum(sizes) == 100_000 and max(sizes) <= textscan.SLICE_ROWS < 65_535
+
+
+def test_shingles_of_a_long_text_in_parts():
+    import pyarrow as pa
+
+    from corpusloom.llm.textscan import word_hashes
+
+    for text in ("", "Ab", "a b  c\n" * 40, "é" * 90 + " x", " " * 99, "One two\tTHREE four five six " * 9):
+        one = pa.array([text])
+        whole, parts = word_hashes(one, True), word_hashes(one, True, 16)
+        assert (whole[0] == parts[0]).all() and len(whole[0]) == len(parts[0]) == len(text.split()) and not parts[1].any()

@@ -51,6 +51,14 @@ def test_counts_against_brute_force(min_repeat):
     assert [tuple(int(got[k][i]) for k in got) for i in range(len(t))] == [brute(x, min_repeat) for x in t]
 
 
+@pytest.mark.parametrize("limit", [1, 7, 40])
+def test_one_long_text_in_parts(limit):
+    for x in filter(None, texts()):
+        got = Q.measure(pa.array([x], pa.string()), 3, limit)
+        assert tuple(int(v[0]) for v in got.values()) == brute(x, 3)
+        assert list(got) == list(Q.measure(pa.array([x, x]), 3))
+
+
 def test_slices_keep_every_row_and_split_at_the_limit():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 100, "", "c"] * 7})
     parts = list(slices(batch, "text", 50))
